@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk, warc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,5 +32,34 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_mix, op7_shard)}
-ORACLES: dict[str, str] = {}
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 2: the ten best rows for every vector whose id is divisible by 100."""
+    from .topk import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(spark, vectors, vectors.filter("pmod(vec_id, 100) = 0"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 5: pages written as WARC archives and read back."""
+    from .warc import report
+
+    return report(spark, _table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 8: secrets in every document."""
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 9: the language of every document."""
+    from .langid import report
+
+    return report(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid)}
+ORACLES: dict[str, str] = {"op2_topk": topk.REPORT_SQL, "op5_warc": warc.REPORT_SQL}
