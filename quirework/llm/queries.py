@@ -61,5 +61,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid)}
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 10: scores of every document."""
+    from .ctw import report
+
+    return report(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid, op10_ctw)}
 ORACLES: dict[str, str] = {"op2_topk": topk.REPORT_SQL, "op5_warc": warc.REPORT_SQL}
