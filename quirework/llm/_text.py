@@ -131,11 +131,12 @@ def shingles(h: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         roll += h[j : j + len(roll)] * PLACES[j]
     at = np.repeat(woffs[:-1] - out_offs[:-1], count) + np.arange(out_offs[-1])
     out = roll[np.minimum(at, max(m - 1, 0))] if m > 0 else np.zeros(out_offs[-1], U)
-    for r in np.flatnonzero((n > 0) & (n < k)):
-        s = U(0x5851F42D4C957F2D) * U(n[r])
-        for j in range(n[r]):
-            s = s + h[woffs[r] + j] * PLACES[j]
-        out[out_offs[r]] = s
+    short = np.flatnonzero((n > 0) & (n < k))
+    whole = U(0x5851F42D4C957F2D) * n[short].astype(U)
+    for j in range(k - 1):
+        has = n[short] > j
+        whole[has] += h[woffs[short[has]] + j] * PLACES[j]
+    out[out_offs[short]] = whole
     return mix(out), out_offs
 
 

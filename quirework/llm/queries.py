@@ -18,6 +18,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op 3: the component of every document."""
+    from .jaccard import join
+
+    return join(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 4: words taken from every document for the target mixture."""
     from .mixing import allot
@@ -68,5 +75,5 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_jaccard, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid, op10_ctw)}
 ORACLES: dict[str, str] = {"op2_topk": topk.REPORT_SQL, "op5_warc": warc.REPORT_SQL}
