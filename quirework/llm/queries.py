@@ -32,6 +32,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allot(_table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that repeat across documents."""
+    from .passages import repeats
+
+    return repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op 7, law `rows`: shard and slot of every document."""
     from .sharding import report
@@ -75,5 +82,5 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_jaccard, op4_mix, op5_warc, op7_shard, op8_secrets, op9_langid, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_jaccard, op4_mix, op5_warc, op6_passages, op7_shard, op8_secrets, op9_langid, op10_ctw)}
 ORACLES: dict[str, str] = {"op2_topk": topk.REPORT_SQL, "op5_warc": warc.REPORT_SQL}
