@@ -8,16 +8,19 @@ A document's set holds its distinct 5-word shingles, as 64-bit fingerprints. Two
    counted, the counts added up, and the HEAVY_MOST most frequent of them (a fixed bound) are sent to all tasks.
    Any common order gives exact results; this one keeps passages that many documents share out of prefixes.
    Two sets that link share a shingle of their prefixes: the first n - ceil(0.8 n) + 1 shingles of each.
-3. Groups of similar documents: every class is compared with one centre, the smallest class that shares the most
-   of its HEAD first shingles. Confirmed links make connected groups, so a large group of near copies takes as
-   many comparisons as it has members, and no link inside a group needs to be looked for again.
+3. Groups of similar documents: every class is compared with up to STARS centres among the classes that share
+   STAR_LEAST of its HEAD least shingles. Confirmed links make connected groups, so a large group of near copies takes
+   comparisons in proportion to its members, and no link inside a group needs to be looked for again.
 4. The token-group matrix has an entry for each (shingle, group) where the shingle is in a member's prefix; other
-   classes are groups of one. It is kept by ranges of shingles. Two groups that share k entries can hold a
-   linking pair of sizes a <= b only if k >= ceil(4 (a + b) / 9) - ceil(0.8 b) + 1, since what follows a
-   prefix holds at most ceil(0.8 b) - 1 shingles. Pairs of groups that this bound leaves are candidates.
-5. Of two candidate groups the members of the smaller one are queries to the larger, which is stored in chunks of at
-   most CHUNK_SHINGLES with the union of the chunk's sets. A query opens a chunk only if the union holds 80 % of
-   the query's set; then it is compared with the chunk's members of fitting size.
+   classes are groups of one. It is kept by ranges of shingles. An entry also has bounds of its members' sizes and
+   of the shingle's place in their prefixes: a pair of sizes a and b that links shares at least 4 (a + b) / 9
+   shingles, so its first shared one leaves that many behind it in both sets. Two groups that share k such entries
+   can hold a linking pair of sizes a <= b only if k >= ceil(4 (a + b) / 9) - ceil(0.8 b) + 1, since what follows
+   a prefix holds at most ceil(0.8 b) - 1 shingles. Pairs of groups that these bounds leave are candidates.
+5. Of two candidate groups the members of the smaller one are queries to the larger. They first meet PROBES of its
+   members, as one link is enough. Groups still apart after that: the larger is stored in chunks of about
+   CHUNK_SHINGLES with the union of the chunk's sets; a query opens a chunk only if the union holds 80 % of the
+   query's set, and then is compared with the chunk's members of fitting size.
 6. Components of all links, each named by its smallest doc_id.
 
 Full sets are made only for classes that are compared: a Bloom filter of fixed size over those classes filters a
@@ -34,15 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import discard, keep
 from ._text import SPACED, U, mix, shingles, slices, words
 
-HEAD = 8
-BLOCK_SHINGLES = 1 << 21
-BLOCK_LEAST, HEAVY_LEAST, HEAVY_MOST = 4, 24, 1 << 20
+HEAD, STAR_LEAST, STARS, PROBES = 8, 3, 3, 8
+BLOCK_SHINGLES = 1 << 22
+BLOCK_LEAST, HEAVY_LEAST, HEAVY_MOST = 2, 12, 1 << 20
+MATRIX_SHINGLES = 1 << 21
+#: sizes in the matrix are kept as powers of this, places in 255ths of the longest prefix
+SIZE_STEP = 1.05
 CHUNK_SHINGLES = 200_000
 BUCKET_ENTRIES = 1 << 18
 BLOOM_BITS = 26
@@ -98,50 +104,52 @@ class _Order:
         self.rank = np.argsort(heavy, kind="stable")
         self.sorted = heavy[self.rank]
 
-    def ordered(self, s: np.ndarray) -> np.ndarray:
+    def ordered(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set in order, and how many shingles of it are not frequent."""
         if not len(self.sorted):
-            return s
+            return s, len(s)
         at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
         often = self.sorted[at] == s
-        if not often.any():
-            return s
-        return np.concatenate([s[~often], s[often][np.argsort(self.rank[at[often]])]])
+        return np.concatenate([s[~often], s[often][np.argsort(self.rank[at[often]])]]), int((~often).sum())
 
 
 def signatures(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, cls, n, head, prefix of every row; head and prefix only at a class's first row in a task."""
+    """doc_id, cls, n, own (thousandths of the set that are not frequent), head, prefix of every row; the last three only at a class's first row in a task."""
     sent = spark.sparkContext.broadcast(heavy_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(sent.value), set()
         for batch in batches:
-            cls, n, head, prefix, at, weight = [], [], [], [], 0, 0
+            cls, n, own, head, prefix, at, weight = [], [], [], [], [], 0, 0
 
             def flushed(batch=batch):
                 longs = pa.list_(pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(head, longs), pa.array(prefix, longs)], ["doc_id", "cls", "n", "head", "prefix"])  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(head, longs), pa.array(prefix, longs)], ["doc_id", "cls", "n", "own", "head", "prefix"])  # noqa: B023
 
             for row, s in _sets(batch.column(1), k):
                 c = _digest(s) if len(s) else None
                 n.append(len(s))
                 cls.append(c)
                 if c is None or c in seen:
+                    own.append(None)
                     head.append(None)
                     prefix.append(None)
                 else:
                     seen.add(c)
-                    o = order.ordered(s)[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64)
-                    head.append(o[:HEAD])
+                    o, light = order.ordered(s)
+                    o = o[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64)
+                    own.append(1000 * light // len(s))
+                    head.append(s[:HEAD].view(np.int64))  # by digest alone: near copies of a large group share frequent ones
                     prefix.append(o)
                     weight += len(o)
                 if weight > 1 << 18:
                     yield flushed()
-                    cls, n, head, prefix, at, weight = [], [], [], [], row + 1, 0
+                    cls, n, own, head, prefix, at, weight = [], [], [], [], [], row + 1, 0
             if n:
                 yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, head array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, own int, head array<long>, prefix array<long>")
 
 
 def _full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -209,6 +217,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(fits).filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """cls: the classes of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: every node of the edges (a, b) with the smallest node that it is connected to.
 
@@ -230,74 +243,116 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _central(n: int):
+    """Up to n classes of a group, dealt by digest, each with the least share of rare shingles: near copies with few changes of their own."""
+    turn, by = F.pmod(F.xxhash64("cls"), F.lit(n)), F.col("own").cast("long") * (1 << 40) + F.pmod(F.xxhash64(F.lit(1), "cls"), F.lit(1 << 40))
+    return F.array_compact(F.array(*(F.min_by("cls", F.when(turn == i, by)) for i in range(n))))
+
+
 def _stars(sig: DataFrame) -> DataFrame:
-    """(a, b): every class with the centre that it shares most of its head with."""
-    head = sig.filter("head is not null").select("cls", F.explode("head").alias("t"))
-    centre = head.groupBy("t").agg(F.min("cls").alias("b"), F.max("cls").alias("z")).filter("b < z").select("t", "b")
-    shared = head.join(centre, "t").filter(F.col("cls") != F.col("b")).groupBy("cls", "b").agg(F.countDistinct("t").alias("k"))
-    return shared.groupBy("cls").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("cls").alias("a"), "b")
+    """(a, b): every class with the centres that it shares most of its head with."""
+    head = sig.filter("head is not null").select("cls", "own", F.explode("head").alias("t"))
+    centre = head.groupBy("t").agg(_central(STARS).alias("b"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("t", "b")
+    pairs = head.join(centre, "t").select("cls", "t", F.explode("b").alias("b")).filter(F.col("cls") != F.col("b"))
+    shared = pairs.groupBy("cls", "b").agg(F.countDistinct("t").alias("k")).filter(F.col("k") >= STAR_LEAST)
+    best = Window.partitionBy("cls").orderBy(F.desc("k"), "b")
+    top = shared.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= STARS)
+    # a pair may come from both sides
+    return top.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+
+
+def _merged(t, g, *bounds):
+    """One entry for each (t, g): least low size, greatest high size, least place."""
+    by = np.lexsort((g, t))
+    t, g = t[by], g[by]
+    head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
+    lo, hi, at = (x[by] for x in bounds)
+    return t[head], g[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head), np.minimum.reduceat(at, head)
 
 
-def _matrix_pairs(rows: DataFrame, n_entries: int) -> DataFrame:
-    """(a, b, k): groups a < b that share k entries; rows: prefix, comp."""
+def _bounds(lo, hi, at, i, j, share: float):
+    """For entries i and j: whether their sizes fit, whether two sets can first meet there, and how many entries sets of these sizes share."""
+    low, high = SIZE_STEP ** lo.astype(np.float64), SIZE_STEP ** (hi.astype(np.float64) + 1)
+    high[hi == 255] = np.inf
+    fits = np.minimum(high[i], high[j]) >= share * np.maximum(low[i], low[j]) * (1 - 1e-9)
+    i, j = i[fits], j[fits]
+    part = share / (1 + share)
+
+    def early(x, y):
+        return at[x] / 255.0 * (1 - share) <= 1 - part * (1 + np.maximum(share, low[y] / high[x])) + 1e-9
+
+    def least(small, large):
+        return low[small] * part - (share - part) * np.minimum(high[large], low[small] / share)
+
+    return i, j, early(i, j) & early(j, i), np.minimum(least(i, j), least(j, i))
+
+
+def _matrix_pairs(rows: DataFrame, n_entries: int, percent: int) -> DataFrame:
+    """(a, b, k): groups a < b whose k shared entries leave room for a link; rows: prefix, comp, n."""
     bits = max(4, (max(1, n_entries) // BUCKET_ENTRIES).bit_length())
+    share = percent / 100
+    names = ["bucket", "t", "g", "s"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, groups, size = [], [], 0
+        held, size = [], 0
 
         def flushed():
-            t, g = np.concatenate(tokens), np.concatenate(groups)
-            by = np.lexsort((g, t))
-            t, g = t[by], g[by]
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
-            t, g = t[new], g[new]
+            t, g, lo, hi, at = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            s = np.stack([lo, hi, at], 1)
             bucket = (t >> U(64 - bits)).astype(np.int32)
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(t)]])
-            blobs = [(t[a:b].tobytes(), g[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array([x for x, _ in blobs], pa.binary()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "t", "g"])
+            blobs = [(t[a:b].tobytes(), g[a:b].tobytes(), s[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(3))], names)
 
         for batch in batches:
-            column, comp = batch.column(0), batch.column(1).to_numpy()
-            n = np.diff(column.offsets.to_numpy())
-            tokens.append(column.flatten().to_numpy().view(U))
-            groups.append(np.repeat(comp, n))
-            size += len(groups[-1])
-            if size >= BLOCK_SHINGLES:
+            column, comp, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            offs = column.offsets.to_numpy()
+            count = np.diff(offs)
+            place = np.arange(offs[-1] - offs[0]) - np.repeat(offs[:-1] - offs[0], count)
+            at = np.floor(place / np.repeat(n, count) / (1 - share) * 255 * (1 - 1e-12)).clip(0, 255) if share < 1 else np.zeros(len(place))
+            size_ = np.repeat(np.floor(np.log(n) / np.log(SIZE_STEP) + 1e-9).clip(0, 255).astype(np.uint8), count)
+            low = np.where(SIZE_STEP ** size_.astype(np.float64) > np.repeat(n, count), size_ - 1, size_).astype(np.uint8)
+            held.append((column.flatten().to_numpy().view(U), np.repeat(comp, count), low, size_, at.astype(np.uint8)))
+            size += len(place)
+            if size >= MATRIX_SHINGLES:
                 yield flushed()
-                tokens, groups, size = [], [], 0
+                held, size = [], 0
         if size:
             yield flushed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def paired(tokens, groups):
-            t, g = np.frombuffer(b"".join(tokens), U), np.frombuffer(b"".join(groups), np.int64)
-            by = np.lexsort((g, t))
-            t, g = t[by], g[by]
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
-            t, g = t[new], g[new]
+        def paired(blobs):
+            t, g, s = (b"".join(x) for x in zip(*blobs, strict=True))
+            s = np.frombuffer(s, np.uint8).reshape(-1, 3)
+            t, g, lo, hi, at = _merged(np.frombuffer(t, U), np.frombuffer(g, np.int64), s[:, 0], s[:, 1], s[:, 2])
             gap, some = 1, np.arange(len(t) - 1)
             while len(some):
                 some = some[some + gap < len(t)]
                 some = some[t[some] == t[some + gap]]
-                if len(some):
-                    pair, k = np.unique(np.stack([g[some], g[some + gap]], 1), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(k)], ["a", "b", "k"])
+                i, j, first, least = _bounds(lo, hi, at, some, some + gap, share)
+                if len(i):
+                    pair, back, k = np.unique(np.stack([g[i], g[j]], 1), axis=0, return_inverse=True, return_counts=True)
+                    back = back.ravel()
+                    need = np.full(len(k), np.inf)
+                    np.minimum.at(need, back, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(k), pa.array(np.bincount(back, weights=first) > 0), pa.array(need)], ["a", "b", "k", "first", "need"])
                 gap += 1
 
-        bucket, tokens, groups = None, [], []
+        bucket, held = None, []
         for batch in batches:
             for i, x in enumerate(batch.column(0).to_pylist()):
-                if x != bucket and tokens:
-                    yield from paired(tokens, groups)
-                    tokens, groups = [], []
+                if x != bucket and held:
+                    yield from paired(held)
+                    held = []
                 bucket = x
-                tokens.append(batch.column(1)[i].as_py())
-                groups.append(batch.column(2)[i].as_py())
-        if tokens:
-            yield from paired(tokens, groups)
+                held.append(tuple(batch.column(j)[i].as_py() for j in range(1, 4)))
+        if held:
+            yield from paired(held)
 
-    dealt = rows.mapInArrow(deal, "bucket int, t binary, g binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    dealt = rows.select("prefix", "comp", "n").mapInArrow(deal, "bucket int, t binary, g binary, s binary").repartition("bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(meet, "a long, b long, k long, first boolean, need double")
+    met = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.bool_or("first").alias("first"), F.min("need").alias("need"))
+    return met.filter(F.col("first") & (F.col("k") >= F.col("need") - 1e-6)).select("a", "b", "k")
 
 
 def _may_link(percent: int):
@@ -317,38 +372,44 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
     docs = docs.select("doc_id", "text")
     sig = keep(signatures(spark, docs, k, percent), "signatures")
     stars = keep(_stars(sig), "stars")
-    involved = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
-    sets = keep(_full_sets(spark, docs, involved, k), "sets")
-    links = keep(_links(stars, sets, percent), "links")
+    links = keep(_links(stars, _full_sets(spark, docs, _both(stars), k), percent), "links")
+    discard(stars)
     groups = components(links)
-    discard(sets)
     # groups of one are named by their class
-    entries = sig.filter("prefix is not null").join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "n", "prefix", F.coalesce("comp", "cls").alias("comp"))
+    grouped = lambda df: df.join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     n_entries = sig.agg(F.sum(F.greatest(F.size("prefix"), F.lit(0)))).first()[0] or 0
-    pairs = _matrix_pairs(entries.select("prefix", "comp"), n_entries)
-    member = sig.filter("cls is not null").select("cls", "n").distinct().join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left").select("cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    pairs = _matrix_pairs(grouped(sig.filter("prefix is not null").select("cls", "n", "prefix")), n_entries, percent)
+    member = grouped(sig.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.max("own").alias("own")))
     size = member.groupBy("comp").agg(F.min("n").alias("l"), F.max("n").alias("h"), F.count("*").alias("m"), F.sum("n").alias("w"))
     side = lambda x: size.select(F.col("comp").alias(x), F.col("l").alias(f"l{x}"), F.col("h").alias(f"h{x}"), F.col("m").alias(f"m{x}"), F.col("w").alias(f"w{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent))
     # the smaller group asks the larger one
     asks = (F.col("ma") < F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
     pick = lambda x, y: F.when(asks, F.col(x)).otherwise(F.col(y))
-    near = keep(near.select(pick("a", "b").alias("q"), pick("b", "a").alias("g"), pick("ma", "mb").alias("mq"), pick("mb", "ma").alias("mg"), pick("wb", "wa").alias("wg")), "near")
+    near = keep(near.select(pick("a", "b").alias("q"), pick("b", "a").alias("g"), pick("mb", "ma").alias("mg"), pick("wb", "wa").alias("wg")), "near")
     single = near.filter("mg = 1").select(F.col("q").alias("a"), F.col("g").alias("b"))
-    large = near.filter("mg > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("wg") / CHUNK_SHINGLES)).cast("long")
+    large = near.filter("mg > 1").select("q", "g", F.greatest(F.lit(1), F.ceil(F.col("wg") / CHUNK_SHINGLES)).cast("long").alias("parts"))
     own = member.select(F.col("comp").alias("q"), F.col("cls").alias("a"), F.col("n").alias("na"))
-    asked = large.join(own, "q").select("a", "na", "g", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("chunk"))
-    wide = large.select("g", parts.alias("parts")).distinct()
-    chunked = member.join(wide, F.col("comp") == F.col("g")).select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("chunk"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    involved = single.select(F.col("a").alias("cls")).unionByName(single.select(F.col("b").alias("cls"))).unionByName(asked.select(F.col("a").alias("cls"))).unionByName(chunked.select(F.col("b").alias("cls"))).distinct()
-    sets = keep(_full_sets(spark, docs, involved, k), "sets")
-    union = chunked.join(sets.select(F.col("cls").alias("b"), "s"), "b").groupBy("g", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-    open_ = asked.join(sets.select(F.col("cls").alias("a"), "s"), "a").join(union, ["g", "chunk"]).filter(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("na")).select("a", "na", "g", "chunk")
-    opened = open_.join(chunked, ["g", "chunk"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    links = keep(links.unionByName(_links(single.unionByName(opened), sets, percent)), "links")
-    discard(sets)
-    final = components(links).select(F.col("node").alias("cls"), "comp")
+    probed = member.join(large.select(F.col("g").alias("comp")).distinct(), "comp").groupBy("comp").agg(_central(PROBES).alias("p"))
+    meets = large.join(own, "q").join(probed, F.col("g") == F.col("comp")).select("a", F.explode("p").alias("b"))
+    tests = keep(single.unionByName(meets).distinct(), "tests")
+    links = keep(links.unionByName(_links(tests, _full_sets(spark, docs, _both(tests), k), percent)), "links")
+    discard(tests)
+    joined = components(links)
+    same = lambda c, to: joined.select(F.col("node").alias(c), F.col("comp").alias(to))
+    apart = large.join(same("q", "cq"), "q", "left").join(same("g", "cg"), "g", "left").filter(F.coalesce("cq", "q") != F.coalesce("cg", "g")).select("q", "g", "parts")
+    apart = keep(apart, "apart")
+    if not apart.isEmpty():
+        asked = apart.join(own, "q").select("a", "na", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"))
+        chunked = member.join(apart.select("g", "parts").distinct(), F.col("comp") == F.col("g")).select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("chunk"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+        sets = keep(_full_sets(spark, docs, asked.select(F.col("a").alias("cls")).unionByName(chunked.select(F.col("b").alias("cls"))).distinct(), k), "sets")
+        union = chunked.join(sets.select(F.col("cls").alias("b"), "s"), "b").groupBy("g", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
+        open_ = asked.join(sets.select(F.col("cls").alias("a"), "s"), "a").join(union, ["g", "chunk"]).filter(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("na")).select("a", "na", "g", "chunk")
+        opened = open_.join(chunked, ["g", "chunk"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        links = keep(links.unionByName(_links(opened, sets, percent)), "links")
+        discard(sets)
+        joined = components(links)
+    final = joined.select(F.col("node").alias("cls"), "comp")
     ids = sig.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = ids.join(ids.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
     out = sig.select("doc_id", "n", "cls").join(named, "cls", "left")
