@@ -88,6 +88,8 @@ class _Counter:
             k, n = np.unique(np.concatenate(self.open), return_counts=True)
             self.open, self.size = [], 0
             k = np.concatenate([self.keys, k])
+            if not len(k):
+                return
             order = np.argsort(k, kind="stable")
             k, n = k[order], np.concatenate([self.n, n])[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))

@@ -129,13 +129,12 @@ class SlicedIndex:
         return np.flatnonzero(np.unpackbits(rest.view(np.uint8), count=self.n, bitorder="little"))
 
 
-def _best(ids: np.ndarray, scores, rows: np.ndarray, k: int) -> list[int]:
-    """The k rows with the highest scores, ties to smaller ids."""
-    if len(rows) > k and scores.dtype != object:
-        cut = np.partition(scores, -k)[-k]
-        keep = scores >= cut
+def _best(ids: np.ndarray, scores: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(row, score) of the k highest scores, ties to smaller ids."""
+    if len(rows) > k:
+        keep = scores >= np.partition(scores, -k)[-k]
         rows, scores = rows[keep], scores[keep]
-    order = np.lexsort((ids[rows], -scores)) if scores.dtype != object else np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]])), np.int64)
+    order = np.lexsort((ids[rows], ~scores))
     return [(int(rows[i]), int(scores[i])) for i in order[:k]]
 
 
@@ -176,11 +175,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                             own = (own_ids == q_id) & ~own_null
                             if index is None or q.dtype == object:
                                 some = np.flatnonzero(~own)
-                                scores = x[some].astype(object) @ np.array(v, object) if x.shape[1] else np.zeros(len(some), np.int64)
+                                scores = np.array([_held(sum(int(a) * int(c) for a, c in zip(r, v, strict=True))) for r in x[some].tolist()], np.int64)
                             else:
                                 some = index.candidates(v, k, own)
                                 scores = x[some] @ v
-                            rows_out += [(b << 32 | no + i, q_id, None if own_null[r] else int(own_ids[r]), _held(s)) for r, s in _best(own_ids, np.asarray(scores), some, k)]
+                            rows_out += [(b << 32 | no + i, q_id, None if own_null[r] else int(own_ids[r]), s) for r, s in _best(own_ids, scores, some, k)]
                         no += len(q_ids)
                 cols = list(zip(*rows_out, strict=True)) if rows_out else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_no", "query_id", "vec_id", "score"])
