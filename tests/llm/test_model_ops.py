@@ -82,13 +82,16 @@ def test_passages_cover_planted_repeats(spark):
     docs += [(100, docs[30][1]), (101, docs[30][1].upper()), (102, None), (103, ""), (None, "short text")]
     rows = passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     text = dict(docs)
-    found = {r.doc_id for r in rows} | {r.other_doc_id for r in rows}
+    found = {r.doc_id for r in rows} | {i for r in rows for i in r.other_doc_ids}
     assert found == {*range(0, 20, 2), 30, 100, 101}
+    assert {r.doc_id: r.other_doc_ids for r in rows if r.doc_id >= 30} == {100: [30], 101: [30]}
     for r in rows:
-        assert r.end - r.start >= 50 and r.matching >= 0.8 * (r.end - r.start)
-        if r.doc_id < 20:
-            assert r.start <= 150 and r.end >= 220 and r.end <= 224, r
-            assert spaced(text[r.doc_id])[r.start : r.end][:10] == spaced(text[r.other_doc_id])[r.other_start : r.other_end][:10]
+        assert r.n_repeated == len({w for p in r.passages for w in range(p.start, p.end)}) and r.n_words == len(spaced(text[r.doc_id]))
+        for p in r.passages:
+            assert p.end - p.start >= 50 and p.matching >= 0.8 * (p.end - p.start)
+            if r.doc_id < 20:
+                assert 145 <= p.start <= 150 and 220 <= p.end <= 224, r
+                assert spaced(text[r.doc_id])[150:160] == spaced(text[p.other_doc_id])[p.other_start + 150 - p.start :][:10]
 
 
 def test_chain_skips_a_stray_anchor():
