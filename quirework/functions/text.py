@@ -31,11 +31,12 @@ def token_counter(encode: Callable[[str], list] | None = None) -> Callable[[Colu
         return count_words
     import pandas as pd
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
+    def count(texts):
         return texts.map(lambda t: len(encode(t)) if t else 0)
 
-    return lambda c: count(_c(c))
+    count.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    counted = F.pandas_udf(count, "int")
+    return lambda c: counted(_c(c))
 
 
 def page_tag_number(c: Column | str) -> Column:
