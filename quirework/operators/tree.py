@@ -157,7 +157,9 @@ def subdivide(nodes: DataFrame, outline_of: Callable[[DataFrame], DataFrame], pa
         out = frontier.join(cut, ["doc_id", "code"], "left").withColumn("end_index", F.coalesce("cut_", "end_index")).drop("cut_")
         done = out if done is None else done.unionByName(out)
         frontier = kids.select("doc_id", F.concat_ws(".", "code", F.format_string("%04d", "k")).alias("code"), "title", "start_index", "end_index")
-        # the next round's plan starts from a table in the shared folder
+        # the next round's plan starts from files in the shared folder
+        if not frontier.sparkSession.sparkContext.getCheckpointDir():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         frontier = frontier.checkpoint()
         if frontier.isEmpty():
             break
