@@ -14,13 +14,13 @@ A document's set holds its distinct 5-word shingles, as 64-bit fingerprints. Two
 4. The token-group matrix has an entry for each (shingle, group) where the shingle is in a member's prefix; other
    classes are groups of one. It is kept by ranges of shingles. An entry also has bounds of its members' sizes and
    of the shingle's place in their prefixes: a pair of sizes a and b that links shares at least 4 (a + b) / 9
-   shingles, so its first shared one leaves that many behind it in both sets. Two groups that share k such entries
-   can hold a linking pair of sizes a <= b only if k >= ceil(4 (a + b) / 9) - ceil(0.8 b) + 1, since what follows
-   a prefix holds at most ceil(0.8 b) - 1 shingles. Pairs of groups that these bounds leave are candidates.
+   shingles, so its first shared one leaves that many behind it in both sets. Pairs of groups with an
+   entry that these bounds allow are candidates. Frequent shingles come late in the order, so documents that have a
+   common passage, and much else, do not meet in it.
 5. Of two candidate groups the members of the smaller one are queries to the larger. They first meet PROBES of its
    members, as one link is enough. Groups still apart after that: the larger is stored in chunks of about
    CHUNK_SHINGLES with the union of the chunk's sets; a query opens a chunk only if the union holds 80 % of the
-   query's set, and then is compared with the chunk's members of fitting size.
+   query's set, and then is compared with the chunk's members that it can meet under the bounds of 4.
 6. Components of all links, each named by its smallest doc_id.
 
 Full sets are made only for classes that are compared: a Bloom filter of fixed size over those classes filters a
@@ -270,25 +270,20 @@ def _merged(t, g, *bounds):
     return t[head], g[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head), np.minimum.reduceat(at, head)
 
 
-def _bounds(lo, hi, at, i, j, share: float):
-    """For entries i and j: whether their sizes fit, whether two sets can first meet there, and how many entries sets of these sizes share."""
+def _meet_here(lo, hi, at, i, j, share: float) -> np.ndarray:
+    """Whether sets of the entries i and j can link with this shingle as the first one they share."""
     low, high = SIZE_STEP ** lo.astype(np.float64), SIZE_STEP ** (hi.astype(np.float64) + 1)
     high[hi == 255] = np.inf
     fits = np.minimum(high[i], high[j]) >= share * np.maximum(low[i], low[j]) * (1 - 1e-9)
-    i, j = i[fits], j[fits]
-    part = share / (1 + share)
 
     def early(x, y):
-        return at[x] / 255.0 * (1 - share) <= 1 - part * (1 + np.maximum(share, low[y] / high[x])) + 1e-9
+        return at[x] / 255.0 * (1 - share) <= 1 - share / (1 + share) * (1 + np.maximum(share, low[y] / high[x])) + 1e-9
 
-    def least(small, large):
-        return low[small] * part - (share - part) * np.minimum(high[large], low[small] / share)
-
-    return i, j, early(i, j) & early(j, i), np.minimum(least(i, j), least(j, i))
+    return fits & early(i, j) & early(j, i)
 
 
 def _matrix_pairs(rows: DataFrame, n_entries: int, percent: int) -> DataFrame:
-    """(a, b, k): groups a < b whose k shared entries leave room for a link; rows: prefix, comp, n."""
+    """(a, b): groups a < b that can link with a shared entry as the first; rows: prefix, comp, n."""
     bits = max(4, (max(1, n_entries) // BUCKET_ENTRIES).bit_length())
     share = percent / 100
     names = ["bucket", "t", "g", "s"]
@@ -329,13 +324,10 @@ def _matrix_pairs(rows: DataFrame, n_entries: int, percent: int) -> DataFrame:
             while len(some):
                 some = some[some + gap < len(t)]
                 some = some[t[some] == t[some + gap]]
-                i, j, first, least = _bounds(lo, hi, at, some, some + gap, share)
-                if len(i):
-                    pair, back, k = np.unique(np.stack([g[i], g[j]], 1), axis=0, return_inverse=True, return_counts=True)
-                    back = back.ravel()
-                    need = np.full(len(k), np.inf)
-                    np.minimum.at(need, back, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(k), pa.array(np.bincount(back, weights=first) > 0), pa.array(need)], ["a", "b", "k", "first", "need"])
+                near = some[_meet_here(lo, hi, at, some, some + gap, share)]
+                if len(near):
+                    pair = np.unique(np.stack([g[near], g[near + gap]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
                 gap += 1
 
         bucket, held = None, []
@@ -350,21 +342,7 @@ def _matrix_pairs(rows: DataFrame, n_entries: int, percent: int) -> DataFrame:
             yield from paired(held)
 
     dealt = rows.select("prefix", "comp", "n").mapInArrow(deal, "bucket int, t binary, g binary, s binary").repartition("bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(meet, "a long, b long, k long, first boolean, need double")
-    met = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.bool_or("first").alias("first"), F.min("need").alias("need"))
-    return met.filter(F.col("first") & (F.col("k") >= F.col("need") - 1e-6)).select("a", "b", "k")
-
-
-def _may_link(percent: int):
-    """Whether k shared prefix entries leave room for a link between groups of sizes la..ha and lb..hb."""
-    both, t = percent / (100 + percent), percent / 100
-
-    def least(small: str, large: str):
-        top = F.least(F.col(f"h{large}").cast("double"), F.col(f"l{small}") / t)
-        return F.col(f"l{small}") * both - (t - both) * top
-
-    fits = (100 * F.least("ha", "hb")) >= percent * F.greatest("la", "lb")
-    return fits & (F.col("k") >= F.least(least("a", "b"), least("b", "a")) - 1e-6)
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -382,7 +360,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
     member = grouped(sig.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.max("own").alias("own")))
     size = member.groupBy("comp").agg(F.min("n").alias("l"), F.max("n").alias("h"), F.count("*").alias("m"), F.sum("n").alias("w"))
     side = lambda x: size.select(F.col("comp").alias(x), F.col("l").alias(f"l{x}"), F.col("h").alias(f"h{x}"), F.col("m").alias(f"m{x}"), F.col("w").alias(f"w{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_may_link(percent))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("ha", "hb") >= percent * F.greatest("la", "lb"))
     # the smaller group asks the larger one
     asks = (F.col("ma") < F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
     pick = lambda x, y: F.when(asks, F.col(x)).otherwise(F.col(y))
@@ -405,7 +383,13 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
         sets = keep(_full_sets(spark, docs, asked.select(F.col("a").alias("cls")).unionByName(chunked.select(F.col("b").alias("cls"))).distinct(), k), "sets")
         union = chunked.join(sets.select(F.col("cls").alias("b"), "s"), "b").groupBy("g", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
         open_ = asked.join(sets.select(F.col("cls").alias("a"), "s"), "a").join(union, ["g", "chunk"]).filter(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("na")).select("a", "na", "g", "chunk")
-        opened = open_.join(chunked, ["g", "chunk"]).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        # an opened chunk's members are reached by their prefixes, under the exact bound on the first shared shingle
+        prefixes = sig.filter("prefix is not null").select("cls", "prefix").dropDuplicates(["cls"])
+        ask = open_.join(prefixes, F.col("a") == F.col("cls")).select("a", "na", "g", "chunk", F.posexplode("prefix").alias("pa", "t"))
+        told = chunked.join(prefixes, F.col("b") == F.col("cls")).select("b", "nb", F.col("g").alias("g_"), F.col("chunk").alias("chunk_"), F.posexplode("prefix").alias("pb", "t_"))
+        least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+        meet = (F.col("g") == F.col("g_")) & (F.col("chunk") == F.col("chunk_")) & (F.col("t") == F.col("t_")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
+        opened = ask.join(told, meet).select("a", "b").distinct()
         links = keep(links.unionByName(_links(opened, sets, percent)), "links")
         discard(sets)
         joined = components(links)
