@@ -145,8 +145,13 @@ def train(spark: SparkSession, docs: DataFrame, seed: int = 0, sample_rows: int
     """A model from docs (doc_id, text, lang), all of which may be learned from; None if there is no label."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
     digest = F.xxhash64(F.lit(seed), "doc_id")
+    # digests are evenly spread, so about four times the sample lies below a cut that follows from a label's rows
     slim = known.select("lang", digest.alias("h"))
-    least = slim.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    rows = slim.groupBy("lang").agg(F.count("*").alias("n"))
+    cut = F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("n"))
+    low = slim.join(rows, "lang").filter((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= cut)
+    ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    least = ranked.filter(F.col("r") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not least:
         return None
     labels = sorted(r.lang for r in least)
