@@ -6,6 +6,7 @@ multi-byte characters are always word bytes. A word's identity is a 64-bit finge
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,19 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+def _return_freed_memory(least: int = 8 << 20) -> None:
+    """Lets a worker's memory follow its present need: glibc gives blocks of that size back at once, and Arrow uses glibc."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, least)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 2 * least)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_freed_memory()
 
 
 def _table(word: np.ndarray) -> np.ndarray:

@@ -44,9 +44,9 @@ from ._store import discard, keep
 from ._text import SPACED, U, mix, shingles, slices, words
 
 HEAD, STAR_LEAST, STARS, PROBES = 8, 3, 3, 8
-BLOCK_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 21
 BLOCK_LEAST, HEAVY_LEAST, HEAVY_MOST = 2, 12, 1 << 20
-MATRIX_SHINGLES = 1 << 21
+MATRIX_SHINGLES = 1 << 20
 #: sizes in the matrix are kept as powers of this, places in 255ths of the longest prefix
 SIZE_STEP = 1.05
 CHUNK_SHINGLES = 200_000
