@@ -71,8 +71,8 @@ WITH d AS (
   SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '')) AS digest, text
   FROM documents),
 k AS (SELECT *, substr(md5(concat_ws(chr(31), '0', coalesce(CAST(doc_id AS VARCHAR), ''), digest)), 1, 15) AS key, coalesce('s' || source, 'z') AS stratum FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id) AS at, count(*) OVER (PARTITION BY stratum) AS n FROM k),
-p AS (SELECT *, row_number() OVER (ORDER BY (2 * at - 1) / n::DOUBLE, stratum, key, doc_id) - 1 AS place, count(*) OVER () AS total FROM r),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id) AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * pos - 1) / n::DOUBLE, stratum, key, doc_id) - 1 AS place, count(*) OVER () AS total FROM r),
 s AS (SELECT *, CAST(place * 8 // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, 'rows' AS law, shard, CAST(place - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM s
 """
