@@ -94,6 +94,18 @@ def test_passages_cover_planted_repeats(spark):
                 assert spaced(text[r.doc_id])[150:160] == spaced(text[p.other_doc_id])[p.other_start + 150 - p.start :][:10]
 
 
+@pytest.mark.parametrize(("half", "insert"), [(1000, 900), (100, 60)])
+def test_chain_under_the_identity_is_cut(spark, half, insert):
+    rng = random.Random(5)
+    run, own = prose(rng, 2 * half, 10**6).split(), prose(rng, insert, 10**6).split()
+    docs = [(0, " ".join(run[:half] + own + run[half:])), (1, " ".join(run))]
+    row = passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(row) == 1
+    long = row[0]["doc_id"] == 0
+    found = [(p["start"], p["end"]) for p in row[0]["passages"]]
+    assert found == ([(0, half), (half + insert, 2 * half + insert)] if long else [(0, half), (half, 2 * half)])
+
+
 def test_chain_skips_a_stray_anchor():
     # the third segment lies off the diagonal and backwards
     assert passages.best_chains([0, 30, 40, 60], [20, 50, 46, 90], [5, 35, 0, 66], [25, 55, 6, 96], [20, 20, 6, 30])[0] == [0, 1, 3]
