@@ -106,6 +106,28 @@ def test_chain_under_the_identity_is_cut(spark, half, insert):
     assert found == ([(0, half), (half + insert, 2 * half + insert)] if long else [(0, half), (half, 2 * half)])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_passage_of_frequent_lines_is_found(spark, seed):
+    rng = random.Random(seed)
+    lines = [prose(rng, 30, 10**6) for _ in range(2)]
+    docs = [(i, f"{prose(rng, 90, 10**6)} {' '.join(lines)} {prose(rng, 90, 10**6)}") for i in range(2)]
+    docs += [(10 + i, f"{prose(rng, 40, 10**6)} {lines[i % 2]} {prose(rng, 40, 10**6)}") for i in range(60)]
+    rows = passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [{r.doc_id, *r.other_doc_ids} for r in rows] == [{0, 1}]
+    assert [(p.start, p.end) for p in rows[0].passages] == [(90, 150)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passage_of_frequent_lines_is_found(spark, seed):
+    rng = random.Random(seed)
+    lines = [prose(rng, 30, 10**6) for _ in range(2)]
+    docs = [(i, f"{prose(rng, 90, 10**6)} {' '.join(lines)} {prose(rng, 90, 10**6)}") for i in range(2)]
+    docs += [(10 + i, f"{prose(rng, 40, 10**6)} {lines[i % 2]} {prose(rng, 40, 10**6)}") for i in range(60)]
+    rows = passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [{r.doc_id, *r.other_doc_ids} for r in rows] == [{0, 1}]
+    assert [(p.start, p.end) for p in rows[0].passages] == [(90, 150)]
+
+
 def test_chain_skips_a_stray_anchor():
     # the third segment lies off the diagonal and backwards
     assert passages.best_chains([0, 30, 40, 60], [20, 50, 46, 90], [5, 35, 0, 66], [25, 55, 6, 96], [20, 20, 6, 30])[0] == [0, 1, 3]
