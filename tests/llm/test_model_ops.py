@@ -128,6 +128,20 @@ def test_passage_of_frequent_lines_is_found(spark, seed):
     assert [(p.start, p.end) for p in rows[0].passages] == [(90, 150)]
 
 
+@pytest.mark.parametrize(("every", "rate"), [(6, 0), (0, 0.15)])
+def test_passages_near_the_identity_are_found(spark, every, rate):
+    rng = random.Random(11)
+    docs, n = [], 40
+    for i in range(n):
+        plant = prose(rng, 80, 10**6).split()
+        edits = range(5, 80, every) if every else rng.sample(range(80), int(80 * rate))
+        copy = [f"x{rng.randrange(10**6)}" if j in edits else w for j, w in enumerate(plant)]
+        docs += [(2 * i + j, f"{prose(rng, 60, 10**6)} {' '.join(w)} {prose(rng, 60, 10**6)}") for j, w in enumerate((plant, copy))]
+    rows = passages.repeats(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all({x // 2 for x in r.other_doc_ids} == {r.doc_id // 2} for r in rows)
+    assert len(rows) >= 0.95 * n
+
+
 def test_chain_skips_a_stray_anchor():
     # the third segment lies off the diagonal and backwards
     assert passages.best_chains([0, 30, 40, 60], [20, 50, 46, 90], [5, 35, 0, 66], [25, 55, 6, 96], [20, 20, 6, 30])[0] == [0, 1, 3]
