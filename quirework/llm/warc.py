@@ -20,6 +20,7 @@ other, all its rows are responses.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -34,6 +35,7 @@ from ._store import new_path
 
 ARCHIVE_BYTES = 32 << 20
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+LENGTH = re.compile(rb"\r\n[ \t]*content-length[ \t]*:(.*?)(?=\r\n)", re.I | re.S)
 HEAD = b"\r\n\r\n"
 RECORD = "file string, offset long, length long, intact boolean, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -109,20 +111,24 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
 
 def parse(content: bytes) -> Iterator[dict]:
     """Records of one archive that the boundary chain reaches."""
-    starts, ends, heads = [], [], []
+    starts, ends, heads, h, told = [], [], [], -1, []
     for m in MAGIC.finditer(content):
-        h = content.find(HEAD, m.start(), m.start() + (1 << 16))
-        fields = _fields(content[m.start() : h]) if h > 0 else {}
-        length = fields.get(b"content-length", b"")
+        if h < m.start():  # the end of a header, and the lengths told before it, hold for all candidates before it
+            h = content.find(HEAD, m.start())
+            h = len(content) if h < 0 else h
+            told = [(x.start(), x[1].strip()) for x in LENGTH.finditer(content, m.start(), h + 2)] if h < len(content) else []
+        at = bisect.bisect_left(told, (m.start(),))
+        length = told[at][1] if at < len(told) else b""
         stop = h + 4 + int(length) if length.isdigit() and len(length) < 19 else -1
         starts.append(m.start())
         ends.append(stop + 4 if stop >= 0 and content[stop : stop + 4] == HEAD else -1)
-        heads.append((fields, h + 4, stop))
+        heads.append((h, stop))
     reached, intact = chain(np.array(starts, np.int64), np.array(ends, np.int64), len(content))
     for i in np.flatnonzero(reached).tolist():
-        fields, a, b = heads[i]
         if ends[i] < 0:
             continue
+        h, b = heads[i]
+        fields, a = _fields(content[starts[i] : h]), h + 4
         body = content.find(HEAD, a, b)
         kind = fields.get(b"warc-type", b"")
         is_http = fields.get(b"content-type", b"").startswith(b"application/http") and body >= 0

@@ -203,6 +203,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert len({r.file for r in back}) > 1
 
 
+def test_warc_with_a_long_url(spark):
+    pages = [(i, "data:," + "x" * 100_000 if i == 2 else "u", f"page {i}") for i in range(5)]
+    rows = warc.report(spark, spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)).collect()
+    assert sorted((r.page_id, r.intact) for r in rows) == [(i, True) for i in range(5)]
+
+
 def test_boundary_chain_of_a_broken_archive():
     record = b"WARC/1.0\r\nContent-Length: 5\r\n\r\nWARC/\r\n\r\n"
     assert [r["offset"] for r in warc.parse(record * 3)] == [0, len(record), 2 * len(record)]
