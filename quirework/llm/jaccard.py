@@ -401,15 +401,17 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document left of each component, the one whose doc_id names it; columns unchanged.
+    """docs with one document left of each component, its row of the least doc_id; columns unchanged.
 
     Rows equal in doc_id (or without one) and text count as one document. Rows that share a doc_id but not their
-    text, and rows without doc_id that share no text, stay together.
+    text are documents of their own. Rows without doc_id go where their component has one with a doc_id.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    found = keep(join(spark, docs, k, percent), "joined")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = keep(join(spark, docs.select(key.alias("doc_id"), "text"), k, percent), "joined")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.text").alias("gone_text_")).distinct()
+    out = docs.withColumn("text_", F.xxhash64("text"))
+    out = out.join(gone, out["doc_id"].eqNullSafe(gone["gone_"]) & (out["text_"] == gone["gone_text_"]), "left_anti")
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("text_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_"])
+        out = out.dropDuplicates(["doc_id", "text_"])
     return out.select(*names)

@@ -65,6 +65,14 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert sorted({r.doc_id for r in kept.collect()}) == sorted(want)
 
 
+def test_keep_one_tells_rows_of_one_id_and_without_id_apart(spark):
+    rng = random.Random(4)
+    copied, own, other = (prose(rng, 60, 10**6) for _ in range(3))
+    docs = [(1, copied), (2, copied + " end"), (2, own), (None, copied + " tail"), (None, other)]
+    kept = jaccard.keep_one(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, copied), (2, own), (None, other)], key=str)
+
+
 def test_join_of_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(spark, d).count() == 0 and passages.repeats(spark, d).count() == 0
