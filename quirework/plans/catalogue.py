@@ -328,6 +328,28 @@ def entity_doc_counts(spark, sf):
     return document_entities(spark, sf).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_docs"))
 
 
+# the same over the documents of all languages; DuckDB's regexes differ there, so without SQL
+
+
+def _all_chem(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.expr(f"coalesce({_CHEM}, '')").alias("t"))
+
+
+@query()
+def formula_entities_all(spark, sf):
+    return _all_chem(spark, sf).select("doc_id", *(E.pattern_hits("t", p).alias(n) for n, p in (("formulas", E.FORMULA), ("salts", E.SODIUM_SALT), ("electrolytes", E.SOLID_ELECTROLYTE), ("oxides", E.LAYERED_OXIDE), ("measures", E.MEASURE))))
+
+
+@query()
+def document_entities_all(spark, sf):
+    return _all_chem(spark, sf).select("doc_id", E.entities("t").alias("found"))
+
+
+@query()
+def entity_doc_counts_all(spark, sf):
+    return document_entities_all(spark, sf).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_docs"))
+
+
 # --- outlines
 
 

@@ -27,3 +27,14 @@ def test_query_equals_its_sql(spark, con, name):
         want = con.sql(f"SELECT {', '.join(f'\"{c}\"' for c in cols)} FROM ({catalogue.ORACLES[name]})").fetchall()
         plain = lambda v: tuple(plain(x) for x in v) if isinstance(v, (list, tuple)) else tuple(plain(x) for x in v.values()) if isinstance(v, dict) else round(v, 6) if isinstance(v, float) else v
         assert sorted((str(plain(tuple(r[c] for c in cols))) for r in rows)) == sorted(str(plain(r)) for r in want)
+
+
+def test_entities_of_all_languages(spark, tmp_path):
+    docs = [(1, "NaClO4 in PC", "en"), (2, "NaBF4 在 DME 中", "zh"), (3, "Lösung von NaFSI", None), (4, None, "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    salts = {r.doc_id: r.salts for r in catalogue.QUERIES["formula_entities_all"](spark, str(tmp_path)).collect()}
+    assert salts == {1: ["NaClO4", "NaPF6"], 2: ["NaBF4", "NaPF6"], 3: ["NaFSI", "NaPF6"], 4: []}
+    found = {r.doc_id: set(r.found) for r in catalogue.QUERIES["document_entities_all"](spark, str(tmp_path)).collect()}
+    assert {"NaBF4", "DME"} <= found[2] and "NaFSI" in found[3] and found[4] == set()
+    counts = {r.entity: r.n_docs for r in catalogue.QUERIES["entity_doc_counts_all"](spark, str(tmp_path)).collect()}
+    assert counts["NaPF6"] == 3 and counts["NaBF4"] == 1
