@@ -49,7 +49,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.pages_of(_read(spark, sf, "documents"))
 
 
-def _outline(spark: SparkSession, sf: str) -> DataFrame:
+def _outline(spark: SparkSession, sf: str, title: str = "substr(text, 1, 24)") -> DataFrame:
     from pyspark.sql import Window
 
     short = _pages(spark, sf).filter("tokens between 1 and 9")
@@ -58,7 +58,7 @@ def _outline(spark: SparkSession, sf: str) -> DataFrame:
     return rows.selectExpr(
         "doc_id", "list_index",
         "case when list_index % 4 = 0 then cast(list_index div 4 + 1 as string) when list_index % 4 = 3 then concat(list_index div 4 + 1, '.2.', list_index % 4) else concat(list_index div 4 + 1, '.', list_index % 4) end as structure",
-        "substr(text, 1, 24) as title", "page_index + 2 + if(tokens % 3 = 0, 1, 0) as page", "if(tokens % 5 <> 4, page_index, null) as physical_index",
+        f"{title} as title", "page_index + 2 + if(tokens % 3 = 0, 1, 0) as page", "if(tokens % 5 <> 4, page_index, null) as physical_index",
         "tokens % 5 <> 3 as has_physical_index", "if(tokens % 2 = 0, 'yes', 'no') as appear_start", "if(tokens % 3 = 1, 'no', 'yes') as answer",
     )
 
@@ -207,6 +207,13 @@ def dot_leader_clean(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", T.clean_dot_leaders(c).alias("cleaned"))
 
 
+@query(_on_docs(cleaned=r"regexp_replace(regexp_replace(text || '.......' || doc_id || ' x. . . . . .', '[.]{5,}', ': ', 'g'), '([.] ){5,}[.]?', ': ', 'g')"))
+def dot_leader_clean_all(spark, sf):
+    """Over whole texts."""
+    c = F.expr("concat(text, '.......', doc_id, ' x. . . . . .')")
+    return _read(spark, sf, "documents").select("doc_id", T.clean_dot_leaders(c).alias("cleaned"))
+
+
 @query(_on_docs(kept="trim(replace(lang || source, chr(10), ' '))"))
 def strip_thinking(spark, sf):
     c = F.expr("concat(' <think>', text, '\n</think>', lang, source, '<think></think> ')")
@@ -378,6 +385,22 @@ def page_offset(spark, sf):
     return outline.page_offset(outline.match_titles(items, items, 2))
 
 
+def _whole_titles(sql: str) -> str:
+    return sql.replace("substr(text, 1, 24) AS title", "text AS title")
+
+
+@query(_whole_titles(f"{_SQL_PAIRS} SELECT doc_id, title, page, physical_index FROM pairs"))
+def title_matches_all(spark, sf):
+    items = _outline(spark, sf, "text")
+    return outline.match_titles(items, items, 2).drop("pos_")
+
+
+@query(_whole_titles(f"{_SQL_OFFSET} SELECT doc_id, d AS page_offset FROM w WHERE k = 1"))
+def page_offset_all(spark, sf):
+    items = _outline(spark, sf, "text")
+    return outline.page_offset(outline.match_titles(items, items, 2))
+
+
 @query(f"{_SQL_OFFSET} SELECT ol.doc_id, list_index, CASE WHEN d IS NULL THEN physical_index ELSE page + d END AS physical_index, CASE WHEN d IS NULL THEN page END AS page FROM ol LEFT JOIN (SELECT doc_id, d FROM w WHERE k = 1) USING (doc_id)")
 def offset_application(spark, sf):
     items = _outline(spark, sf)

@@ -38,3 +38,13 @@ def test_entities_of_all_languages(spark, tmp_path):
     assert {"NaBF4", "DME"} <= found[2] and "NaFSI" in found[3] and found[4] == set()
     counts = {r.entity: r.n_docs for r in catalogue.QUERIES["entity_doc_counts_all"](spark, str(tmp_path)).collect()}
     assert counts["NaPF6"] == 3 and counts["NaBF4"] == 1
+
+
+def test_whole_texts_and_titles(spark, tmp_path):
+    line = "a line of well over twenty-four characters"
+    docs = [(1, f"{line} A..... 5\n{line} B\n{line} C . . . . . . 9")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cleaned = catalogue.QUERIES["dot_leader_clean_all"](spark, str(tmp_path)).first().cleaned
+    assert cleaned == f"{line} A:  5\n{line} B\n{line} C : 9: 1 x: "
+    titles = {r.title for r in catalogue._outline(spark, str(tmp_path), "text").collect()}
+    assert titles == {f"{line} B", f"{line} A..... 5"}
