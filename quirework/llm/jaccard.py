@@ -23,12 +23,16 @@ A document's set holds its distinct 5-word shingles, as 64-bit fingerprints. Two
    query's set, and then is compared with the chunk's members that it can meet under the bounds of 4.
 6. Components of all links, each named by its smallest doc_id.
 
-Full sets are made only for classes that are compared: a Bloom filter of fixed size over those classes filters a
-scan of the documents; false positives cost time only.
+Before two sets are compared, their parity bitmaps are: 2 to 4 bits for each shingle, each the parity of the
+shingles that fall on it. Two bitmaps differ in at most as many bits as the sets do in shingles, so a pair whose
+bitmaps differ in more bits than linked sets of these sizes can is out, without its sets. Full sets are
+made only for the classes of the pairs left: a Bloom filter of fixed size over those classes filters a scan of the
+documents; false positives cost time only.
 
 Null text and text without words have an empty set and link with nothing. A text of fewer than 5 words has
 its whole sequence as one shingle. Null doc_id takes part and is never a component's name while others are
-there. Rows that repeat a doc_id take part one by one.
+there. Rows that repeat a doc_id take part one by one. A text is held by one task as a whole, with some tens of bytes
+for each of its own, however long it is. An empty table gives an empty one. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +72,20 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U) + U(len(s))], U))[0].astype(np.int64))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A set's parity bitmap: a power of two of bits, at least twice the set's size."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """In how many bits two parity bitmaps differ, the larger one folded to the size of the smaller."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def heavy_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """The most frequent shingles, rare ones first; copies within a block count once."""
 
@@ -114,42 +132,43 @@ class _Order:
 
 
 def signatures(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, cls, n, own (thousandths of the set that are not frequent), head, prefix of every row; the last three only at a class's first row in a task."""
+    """doc_id, cls, n, own (thousandths of the set that are not frequent), head, prefix, parity of every row; the last four only at a class's first row in a task."""
     sent = spark.sparkContext.broadcast(heavy_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "cls", "n", "own", "head", "prefix", "parity"]
+    longs = pa.list_(pa.int64())
+    types = [pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(sent.value), set()
+
+        def told(s: np.ndarray) -> tuple:
+            c = _digest(s) if len(s) else None
+            if c is None or c in seen:
+                return c, len(s), None, None, None, None
+            seen.add(c)
+            o, light = order.ordered(s)
+            prefix = o[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64)
+            # heads go by digest alone: near copies of a large group share frequent ones
+            return c, len(s), 1000 * light // len(s), s[:HEAD].view(np.int64), prefix, _parity(s)
+
         for batch in batches:
-            cls, n, own, head, prefix, at, weight = [], [], [], [], [], 0, 0
+            rows, at, weight = [], 0, 0
 
             def flushed(batch=batch):
-                longs = pa.list_(pa.int64())
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int32()), pa.array(head, longs), pa.array(prefix, longs)], ["doc_id", "cls", "n", "own", "head", "prefix"])  # noqa: B023
+                columns = zip(*rows, strict=True)  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)  # noqa: B023
 
             for row, s in _sets(batch.column(1), k):
-                c = _digest(s) if len(s) else None
-                n.append(len(s))
-                cls.append(c)
-                if c is None or c in seen:
-                    own.append(None)
-                    head.append(None)
-                    prefix.append(None)
-                else:
-                    seen.add(c)
-                    o, light = order.ordered(s)
-                    o = o[: len(s) - -(-len(s) * percent // 100) + 1].view(np.int64)
-                    own.append(1000 * light // len(s))
-                    head.append(s[:HEAD].view(np.int64))  # by digest alone: near copies of a large group share frequent ones
-                    prefix.append(o)
-                    weight += len(o)
+                rows.append(told(s))
+                weight += len(rows[-1][4]) if rows[-1][4] is not None else 0
                 if weight > 1 << 18:
                     yield flushed()
-                    cls, n, own, head, prefix, at, weight = [], [], [], [], [], row + 1, 0
-            if n:
+                    rows, at, weight = [], row + 1, 0
+            if rows:
                 yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, own int, head array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, own int, head array<long>, prefix array<long>, parity binary")
 
 
 def _full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -209,12 +228,38 @@ def _bloom(spark: SparkSession, wanted: DataFrame) -> np.ndarray:
     return out
 
 
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that can link by their sizes and parity bitmaps; classes: cls, n, parity."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    # sets of the sizes na and nb that link differ in at most this share of na + nb
+    share = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, y = batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            good = [_differing(x[i], y[i]) <= share * n[i] + 1e-6 for i in range(len(n))]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in range(2)], ["a", "b"])
+
+    fits = (100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link."""
     one, two = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    fits = (100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").filter(fits).filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+
+
+def _compared(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes that link, in a kept table."""
+    close = keep(_close(pairs, classes, percent), "close")
+    if close.isEmpty():
+        return close
+    out = keep(_links(close, _full_sets(spark, docs, _both(close), k), percent), "links")
+    discard(close)
+    return out
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -349,15 +394,17 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     sig = keep(signatures(spark, docs, k, percent), "signatures")
+    ids = keep(sig.select("doc_id", "n", "cls"), "ids")
+    classes = keep(sig.filter("prefix is not null").select("cls", "n", "own", "parity").dropDuplicates(["cls"]), "classes")
     stars = keep(_stars(sig), "stars")
-    links = keep(_links(stars, _full_sets(spark, docs, _both(stars), k), percent), "links")
+    links = _compared(spark, docs, stars, classes, k, percent)
     discard(stars)
     groups = components(links)
     # groups of one are named by their class
     grouped = lambda df: df.join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     n_entries = sig.agg(F.sum(F.greatest(F.size("prefix"), F.lit(0)))).first()[0] or 0
     pairs = _matrix_pairs(grouped(sig.filter("prefix is not null").select("cls", "n", "prefix")), n_entries, percent)
-    member = grouped(sig.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.max("own").alias("own")))
+    member = grouped(classes.select("cls", "n", "own"))
     size = member.groupBy("comp").agg(F.min("n").alias("l"), F.max("n").alias("h"), F.count("*").alias("m"), F.sum("n").alias("w"))
     side = lambda x: size.select(F.col("comp").alias(x), F.col("l").alias(f"l{x}"), F.col("h").alias(f"h{x}"), F.col("m").alias(f"m{x}"), F.col("w").alias(f"w{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("ha", "hb") >= percent * F.greatest("la", "lb"))
@@ -370,48 +417,66 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) ->
     own = member.select(F.col("comp").alias("q"), F.col("cls").alias("a"), F.col("n").alias("na"))
     probed = member.join(large.select(F.col("g").alias("comp")).distinct(), "comp").groupBy("comp").agg(_central(PROBES).alias("p"))
     meets = large.join(own, "q").join(probed, F.col("g") == F.col("comp")).select("a", F.explode("p").alias("b"))
-    tests = keep(single.unionByName(meets).distinct(), "tests")
-    links = keep(links.unionByName(_links(tests, _full_sets(spark, docs, _both(tests), k), percent)), "links")
-    discard(tests)
-    joined = components(links)
+    probe_links = _compared(spark, docs, single.unionByName(meets).distinct(), classes, k, percent)
+    all_links = keep(links.unionByName(probe_links), "links")
+    discard(links, probe_links)
+    joined = components(all_links)
     same = lambda c, to: joined.select(F.col("node").alias(c), F.col("comp").alias(to))
     apart = large.join(same("q", "cq"), "q", "left").join(same("g", "cg"), "g", "left").filter(F.coalesce("cq", "q") != F.coalesce("cg", "g")).select("q", "g", "parts")
     apart = keep(apart, "apart")
+    discard(near)
     if not apart.isEmpty():
-        asked = apart.join(own, "q").select("a", "na", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"))
-        chunked = member.join(apart.select("g", "parts").distinct(), F.col("comp") == F.col("g")).select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("chunk"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-        sets = keep(_full_sets(spark, docs, asked.select(F.col("a").alias("cls")).unionByName(chunked.select(F.col("b").alias("cls"))).distinct(), k), "sets")
-        union = chunked.join(sets.select(F.col("cls").alias("b"), "s"), "b").groupBy("g", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
-        open_ = asked.join(sets.select(F.col("cls").alias("a"), "s"), "a").join(union, ["g", "chunk"]).filter(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("na")).select("a", "na", "g", "chunk")
-        # an opened chunk's members are reached by their prefixes, under the exact bound on the first shared shingle
-        prefixes = sig.filter("prefix is not null").select("cls", "prefix").dropDuplicates(["cls"])
-        ask = open_.join(prefixes, F.col("a") == F.col("cls")).select("a", "na", "g", "chunk", F.posexplode("prefix").alias("pa", "t"))
-        told = chunked.join(prefixes, F.col("b") == F.col("cls")).select("b", "nb", F.col("g").alias("g_"), F.col("chunk").alias("chunk_"), F.posexplode("prefix").alias("pb", "t_"))
-        least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-        meet = (F.col("g") == F.col("g_")) & (F.col("chunk") == F.col("chunk_")) & (F.col("t") == F.col("t_")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
-        opened = ask.join(told, meet).select("a", "b").distinct()
-        links = keep(links.unionByName(_links(opened, sets, percent)), "links")
-        discard(sets)
-        joined = components(links)
+        opened = _opened(spark, docs, sig, member, own, apart, k, percent)
+        more = _compared(spark, docs, opened, classes, k, percent)
+        if not more.isEmpty():
+            last = keep(all_links.unionByName(more), "links")
+            discard(joined)
+            joined = components(last)
+            discard(last)
+        discard(opened, more)
+    discard(apart, all_links, groups, sig, classes)
     final = joined.select(F.col("node").alias("cls"), "comp")
-    ids = sig.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    named = ids.join(ids.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
-    out = sig.select("doc_id", "n", "cls").join(named, "cls", "left")
+    least = ids.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
+    out = ids.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _opened(spark: SparkSession, docs: DataFrame, sig: DataFrame, member: DataFrame, own: DataFrame, apart: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): the classes a of the groups q with the members b that they can meet in the chunks of g that they open; apart: q, g, parts."""
+    asked = apart.join(own, "q").select("a", "na", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"))
+    chunked = member.join(apart.select("g", "parts").distinct(), F.col("comp") == F.col("g")).select("g", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("chunk"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    sets = keep(_full_sets(spark, docs, asked.select(F.col("a").alias("cls")).unionByName(chunked.select(F.col("b").alias("cls"))).distinct(), k), "sets")
+    union = chunked.join(sets.select(F.col("cls").alias("b"), "s"), "b").groupBy("g", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("u"))
+    open_ = asked.join(sets.select(F.col("cls").alias("a"), "s"), "a").join(union, ["g", "chunk"]).filter(100 * F.size(F.array_intersect("s", "u")) >= percent * F.col("na")).select("a", "na", "g", "chunk")
+    open_ = keep(open_, "open")
+    discard(sets)
+    # an opened chunk's members are reached by their prefixes, under the exact bound on the first shared shingle
+    prefixes = sig.filter("prefix is not null").select("cls", "prefix").dropDuplicates(["cls"])
+    ask = open_.join(prefixes, F.col("a") == F.col("cls")).select("a", "na", "g", "chunk", F.posexplode("prefix").alias("pa", "t"))
+    told = chunked.join(open_.select("g", "chunk").distinct(), ["g", "chunk"]).join(prefixes, F.col("b") == F.col("cls")).select("b", "nb", F.col("g").alias("g_"), F.col("chunk").alias("chunk_"), F.posexplode("prefix").alias("pb", "t_"))
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    meet = (F.col("g") == F.col("g_")) & (F.col("chunk") == F.col("chunk_")) & (F.col("t") == F.col("t_")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - least) & (F.col("pb") <= F.col("nb") - least)
+    out = keep(ask.join(told, meet).select("a", "b").distinct(), "opened")
+    discard(open_)
+    return out
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document left of each component, its row of the least doc_id; columns unchanged.
 
     Rows equal in doc_id (or without one) and text count as one document. Rows that share a doc_id but not their
     text are documents of their own. Rows without doc_id go where their component has one with a doc_id.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names, taken = docs.columns, {c.lower() for c in docs.columns}
+    digest = next(x for i in range(len(names) + 1) if (x := f"text_digest_{i}") not in taken)
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     found = keep(join(spark, docs.select(key.alias("doc_id"), "text"), k, percent), "joined")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.text").alias("gone_text_")).distinct()
-    out = docs.withColumn("text_", F.xxhash64("text"))
-    out = out.join(gone, out["doc_id"].eqNullSafe(gone["gone_"]) & (out["text_"] == gone["gone_text_"]), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text_"])
-    return out.select(*names)
+    gone = keep(found.filter("doc_id != component_id").select(F.col("doc_id.id").alias("id"), F.col("doc_id.text").alias("text")).distinct(), "gone")
+    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    discard(found)
+    out = docs.withColumn(digest, F.xxhash64("text"))
+    out = out.join(gone, out["doc_id"].eqNullSafe(gone["id"]) & (out[digest] == gone["text"]), "left_anti")
+    if repeated:
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.select(*(F.col(f"`{c}`") for c in names))
