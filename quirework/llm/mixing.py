@@ -14,7 +14,8 @@ Draws are digests of seed, round and doc_id, so reruns agree however rows are de
 
 Null source is a source, ordered last. Null or wordless text has size 0 and is taken as often as it is copied,
 0 words each. Rows with equal doc_id are rounded one by one; equal rows are interchangeable. Of a source
-without words the target is 0.
+without words the target is 0. A text is counted as a whole by one task, however long. An empty table gives an empty one.
+Other columns than doc_id, source and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import discard, keep
 from ._text import SPACED, U, mix, slices, whole_groups, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -114,10 +115,11 @@ def _rounded(rows: DataFrame, seed: int, level: int) -> DataFrame:
     return dealt.mapInArrow(run, rows.schema)
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, source, digest_, size_, source_size_, target_ and copies_ of every row of docs."""
-    spark = docs.sparkSession
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0, group_rows: int = GROUP_ROWS, tables: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, source, digest_, size_, source_size_, target_ and copies_ of every row of docs; the kept tables it reads are added to `tables`."""
+    spark, tables = docs.sparkSession, [] if tables is None else tables
     counted = keep(_word_counts(docs), "sizes")
+    tables.append(counted)
     # one row for each source: a table of at most as many rows as there are sources, which the weights speak of
     per = [(r.source, int(r.s or 0), r.n) for r in counted.groupBy("source").agg(F.sum("size_").alias("s"), F.count("*").alias("n")).collect()]
     per.sort(key=lambda r: (r[0] is None, str(r[0] if r[0] is not None else "").encode("utf-32-be")))
@@ -141,6 +143,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MO
     while True:
         level += 1
         out = keep(_rounded(current, seed, level), f"pivot{level}")
+        tables.append(out)
         settled = F.col("p_").isin(0.0, 1.0)
         parts.append(out.filter(settled))
         current = out.filter(~settled)
@@ -166,15 +169,19 @@ def allot(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, seed: int = 0) -> DataFrame:
-    """docs with each row repeated as often as the mix copies it, its columns unchanged."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = copies(docs, weights, most, seed).withColumn("doc_key_", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")))
+    """docs with each row repeated as often as the mix copies it, its columns unchanged, whatever their names."""
+    key = [
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("id_"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("z")).alias("of_"),
+    ]
+    same = ["id_", "of_", "digest_"]
+    tables: list[DataFrame] = []
+    chosen = copies(docs.select("doc_id", "source", "text"), weights, most, seed, tables=tables).select(*key, "digest_", "copies_")
     # rows equal in doc_id, source and text are interchangeable: they share the sum of their copies
-    same = ["doc_key_", "stratum_", "digest_"]
-    stratum = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("z")).alias("stratum_")
-    totals = chosen.select("doc_key_", stratum, "digest_", "copies_").groupBy(*same).agg(F.sum("copies_").alias("copies_"), F.count("*").alias("rows_"), F.max("copies_").alias("top_")).filter("copies_ > 0")
-    rows = docs.withColumns({"doc_key_": F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), "digest_": F.xxhash64(F.coalesce("text", F.lit("")))}).withColumn("stratum_", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("z")))
-    rows = rows.join(totals, same)
+    totals = keep(chosen.groupBy(*same).agg(F.sum("copies_").alias("copies_"), F.count("*").alias("rows_")).filter("copies_ > 0"), "copies")
+    discard(*tables)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), *key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest_")).join(totals, same)
     # of `rows_` equal rows the first `copies_ mod rows_` get one copy more
-    spread = F.when(F.col("rows_") == 1, F.col("copies_")).otherwise(F.expr("(copies_ + rows_ - row_number() over (partition by doc_key_, stratum_, digest_ order by doc_key_)) div rows_"))
-    return rows.withColumn("copies_", spread).filter("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*names)
+    spread = F.when(F.col("rows_") == 1, F.col("copies_")).otherwise(F.expr("(copies_ + rows_ - row_number() over (partition by id_, of_, digest_ order by id_)) div rows_"))
+    taken = rows.withColumn("taken_", spread).filter("taken_ > 0")
+    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("taken_").cast("int")))).select("row_.*")
