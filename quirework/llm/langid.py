@@ -11,7 +11,8 @@ Since averaging and the linear layer commute, prediction looks up class scores (
 does not depend on the embedding's width.
 
 `und` with score 0 is predicted for null text and text without a letter; it is always rejected. If no label can
-be learned, every text is `und`. Rows with null doc_id are not learned from and not held out.
+be learned, every text is `und`. Rows with null doc_id are not learned from and not held out. Equal rows count once in the
+sample. One task holds a text as a whole, however long. Of an empty table nothing is learned, and its result is empty.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from ._text import BASE, INVERSE, U, _power, mix, slices
 
 BUCKETS = 1 << 16
 WIDTH = 16
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
 EPOCHS, RATE = 6, 8.0
 CALIBRATED_LOSS, MOST_THRESHOLD = 0.001, 0.5
 ORDERS = (2, 3, 4)
@@ -144,19 +145,22 @@ def _calibrate(model: Model, samples: list[tuple[int, np.ndarray, np.ndarray]])
 def train(spark: SparkSession, docs: DataFrame, seed: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from docs (doc_id, text, lang), all of which may be learned from; None if there is no label."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    digest = F.xxhash64(F.lit(seed), "doc_id")
+    # equal rows share a digest; rows of one doc_id with different texts do not
+    digest = F.xxhash64(F.lit(seed), "doc_id", "text")
     # digests are evenly spread, so about four times the sample lies below a cut that follows from a label's rows
-    slim = known.select("lang", digest.alias("h"))
-    rows = slim.groupBy("lang").agg(F.count("*").alias("n"))
-    cut = F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.col("n"))
-    low = slim.join(rows, "lang").filter((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= cut)
+    cuts = [(r.lang, min(1.0, 4.0 * sample_rows / r.n)) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not cuts:
+        return None
+    # one row for each label: tables as small as the set of classes
+    below = F.broadcast(spark.createDataFrame(cuts, "lang string, cut double"))
+    low = known.select("lang", digest.alias("h")).join(below, "lang").filter((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 <= F.col("cut")).select("lang", "h").distinct()
     ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     least = ranked.filter(F.col("r") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not least:
         return None
     labels = sorted(r.lang for r in least)
-    # one row for each label: a table as small as the set of classes
-    chosen = known.withColumn("h_", digest).join(F.broadcast(spark.createDataFrame([(r.lang, r.most) for r in least], "lang string, most_ long")), "lang").filter(F.col("h_") <= F.col("most_"))
+    most = spark.createDataFrame([(r.lang, r.most) for r in least], "lang string, most_ long")
+    chosen = known.withColumn("h_", digest).join(F.broadcast(most), "lang").filter(F.col("h_") <= F.col("most_")).select("lang", "h_", "text").dropDuplicates(["lang", "h_"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +173,14 @@ def train(spark: SparkSession, docs: DataFrame, seed: int = 0, sample_rows: int
                 found = [np.unique(np.concatenate(x), return_counts=True) for x in own]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([(c / max(c.sum(), 1)).astype(np.float32) for _, c in found], pa.list_(pa.float32()))], ["lang", "h", "b", "c"])
 
-    rows = chosen.select("lang", "h_", "text").mapInArrow(count, "lang string, h long, b array<int>, c array<float>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    # the driver holds no more than sample_rows texts a label, as the distinct features of each: 8 bytes for each of at most BUCKETS
     number = {x: i for i, x in enumerate(labels)}
-    lang, h, b, c = (rows.column(i).combine_chunks() for i in range(4))
-    samples = [(number[lang[i].as_py()], b[i].values.to_numpy(), c[i].values.to_numpy().astype(np.float64)) for i in range(len(rows)) if len(b[i])]
+    sampled = chosen.mapInArrow(count, "lang string, h long, b array<int>, c array<float>").toArrow()
+    told: list[tuple] = []
+    for part in sampled.to_batches():
+        lang, h, b, c = part.columns
+        told += [(h[i].as_py(), number[lang[i].as_py()], b[i].values.to_numpy(), c[i].values.to_numpy()) for i in range(part.num_rows) if len(b[i])]
+    samples = [x[1:] for x in sorted(told, key=lambda x: x[:2])]
     if not samples:
         return None
     held = [s for i, s in enumerate(samples) if i % 4 == 3]
