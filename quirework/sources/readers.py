@@ -83,7 +83,7 @@ def resolve_host(explicit: str | None, ip_file: str) -> str:
 
 
 def resolve_url(url: str, directory: str, scheme: str = "instance") -> str:
-    """`scheme://name:port/path` with the host from the file `.<name>_ip` in directory; other URLs unchanged."""
+    """`scheme://name:port/path` with the host from the file `<name>.ip` in directory; other URLs unchanged."""
     from urllib.parse import urlsplit
 
     parts = urlsplit(url)
@@ -91,7 +91,7 @@ def resolve_url(url: str, directory: str, scheme: str = "instance") -> str:
         return url
     if not parts.hostname:
         raise ValueError(f"no instance in {url!r}")
-    host = resolve_host(None, os.path.join(directory, f".{parts.hostname}_ip"))
+    host = resolve_host(None, os.path.join(directory, f"{parts.hostname}.ip"))
     return f"http://{host}" + (f":{parts.port}" if parts.port else "") + parts.path
 
 

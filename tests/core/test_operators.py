@@ -144,6 +144,29 @@ def test_layout_blocks():
     assert X.layout_blocks(None) == []
 
 
+def test_layout_blocks_in_odd_markup():
+    blocks = lambda s: [(b["label"], b["bbox"], b["html"]) for b in X.layout_blocks(s)]
+    assert blocks("<DIV DATA-LABEL='a &amp; b'>x<!-- <div> -->y</DIV><div data-bbox=\"1\"><p class=c hidden>z</p></div>") == [("a & b", "", "xy"), (None, "1", '<p class="c">z</p>')]
+    assert blocks('<div><div data-label="in">x</div></div>') == [("in", "", "x")]
+    assert blocks('<div data-label="o"><div data-label="i">x</div>y</div></div>') == [("o", "", '<div data-label="i">x</div>y')]
+    assert blocks('<div data-label="t" /><div data-label="u" title="a > b">x</div>') == [("u", "", "x")]
+    assert blocks('1 < 2 <div data-label="v">3 < 4 &eacute;</div>') == [("v", "", "3 < 4 \u00e9")]
+
+
+def test_envelopes_and_panels(spark):
+    of = lambda c: one(spark, c, X.envelope)
+    assert of("") is None and of(None) is None
+    e = of("<analyze>[{\"titles")
+    assert (e.format, e.truncated, e.panels, e.error) == ("figure_analysis", True, [], "unrecoverable")
+    e = of("<analyze>{oops}</analyze>")
+    assert (e.truncated, e.panels, e.error) == (False, [], "json")
+    assert of("p" * 600).raw_head == "p" * 500 and of('<div data-label="x">').raw_head is None
+    html = one(spark, '[{"titles":"<T>","x_labels":"a"},{"series":"s"}]', X.render_panels)
+    assert html.splitlines() == ['<div class="analysis-block"><h4>&lt;T&gt;</h4><dl><dt>X Labels</dt><dd>a</dd></dl></div>', '<div class="analysis-block"><h4>Subplot 2</h4><dl><dt>Series</dt><dd>s</dd></dl></div>']
+    assert one(spark, '<analyze>[]</analyze> [[{"series":"s","x":1}],{"y":3}]', X.trailing_points) == [{"series": "s", "x": "1"}, {"y": "3"}]
+    assert one(spark, "<analyze>[]</analyze>", X.trailing_points) is None
+
+
 def test_text_functions(spark):
     assert one(spark, "a ........ 5 . . . . . b", T.clean_dot_leaders) == "a :  5 : b"
     assert one(spark, " <think>\nx</think> y ", T.strip_thinking) == "y"
@@ -253,7 +276,7 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.contained(str(tmp_path / "base"), "../in/a.pdf")
     with pytest.raises(FileNotFoundError):
         readers.contained(str(tmp_path / "base"), "none")
-    (tmp_path / ".gpu_ip").write_text("10.0.0.1\n")
+    (tmp_path / "gpu.ip").write_text("10.0.0.1\n")
     assert readers.resolve_url("instance://gpu:8000/v1", str(tmp_path)) == "http://10.0.0.1:8000/v1" and readers.resolve_url("http://x/v1", "") == "http://x/v1"
     shown = writers.comparison(spark.createDataFrame([("a", "1", "f", "n1", "m", "t", "x | y<0x0A>1 | 2"), ("a", "1", "f", "n2", "m", "t", "<b>")], "pdf_stem string, page string, img string, name string, model string, task string, text string"))
     assert "<th>x</th>" in shown.first().html and "&lt;b&gt;" in shown.first().html
