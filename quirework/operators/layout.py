@@ -74,28 +74,25 @@ def captions(detections: DataFrame, vertical: int = 80, ratio: float = 0.6) -> D
     `ratio` of the content's width, and it must start at most `vertical` below the content, or, failing that, end at
     most as far above it. The first of equally near captions wins. A page's detections are one group.
     """
-    inputs = detections.filter(F.col("label").isin(*CONTENT, *CAPTIONS)).select("doc_id", "page_index", "det_index", F.col("label").isin(*CAPTIONS).alias("is_caption"), *BOX)
-
-    def pair(pdf):
-        pdf = pdf.sort_values("det_index")
-        free = pdf[pdf["is_caption"]].to_dict("records")
-        out = pdf[~pdf["is_caption"]][["doc_id", "page_index", "det_index"]].copy()
-        chosen = []
-        for e in pdf[~pdf["is_caption"]].to_dict("records"):
-            near = []
-            for k, c in enumerate(free):
-                if abs(e["x0"] + e["x1"] - c["x0"] - c["x1"]) / 2 > (e["x1"] - e["x0"]) * ratio:
-                    continue
-                gaps = [g for g in (c["y0"] - e["y1"], e["y0"] - c["y1"]) if 0 <= g <= vertical]
-                if gaps:
-                    near.append((gaps[0], k))
-            chosen.append(free.pop(min(near)[1])["det_index"] if near else None)
-        out["caption_index"] = chosen
-        out["caption_index"] = out["caption_index"].astype("Int64")
-        return out
-
-    kind = detections.schema["doc_id"].dataType.simpleString()
-    return inputs.groupBy("doc_id", "page_index").applyInPandas(pair, f"doc_id {kind}, page_index int, det_index int, caption_index long")
+    box = F.struct("det_index", *BOX)
+    of = lambda labels: F.array_sort(F.collect_list(F.when(F.col("label").isin(*labels), box)))
+    pages = detections.filter(F.col("label").isin(*CONTENT, *CAPTIONS)).groupBy("doc_id", "page_index").agg(of(CONTENT).alias("contents"), of(CAPTIONS).alias("captions"))
+
+    def choice(e: Column, used: Column) -> Column:
+        """Distance and place of the nearest free caption of e; null without."""
+
+        def gap(c: Column) -> Column:
+            below, above = c["y0"] - e["y1"], e["y0"] - c["y1"]
+            near = F.abs(e["x0"] + e["x1"] - c["x0"] - c["x1"]) / 2 <= (e["x1"] - e["x0"]) * ratio
+            return F.when(near, F.when(below.between(0, vertical), below).when(above.between(0, vertical), above))
+
+        gaps = F.transform("captions", lambda c, i: F.struct(F.when(~F.array_contains(used, i), gap(c)).alias("gap"), i.alias("at")))
+        return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))["at"]
+
+    # the places of the captions taken so far, one for each content in order, -1 where there was none
+    taken = F.aggregate("contents", F.array().cast("array<int>"), lambda used, e: F.concat(used, F.array(F.coalesce(choice(e, used), F.lit(-1)))))
+    pairs = pages.select("doc_id", "page_index", "captions", F.explode(F.arrays_zip("contents", taken.alias("taken"))).alias("x"))
+    return pairs.select("doc_id", "page_index", F.col("x.contents.det_index").alias("det_index"), F.get("captions", F.col("x.taken"))["det_index"].cast("long").alias("caption_index"))
 
 
 def drop_unplaced(elements: DataFrame, page_nodes: DataFrame) -> DataFrame:

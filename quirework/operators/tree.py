@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,40 +11,45 @@ from ..functions.text import child_block
 
 
 def with_parents(outline: DataFrame) -> DataFrame:
-    """Adds parent_index: the list_index of the latest earlier item whose code is this one's without its last part; null at roots."""
+    """Adds parent_index: the list_index of the latest earlier item whose code is this one's without its last part; null at roots.
+
+    Every item stands once under its own code and once under its parent's; the latest of the former before the latter is
+    the parent, so one window by document and code finds it.
+    """
     code = F.col("structure")
-    up = F.when(F.instr(code, ".") > 0, F.regexp_replace(code, r"\.[^.]*$", ""))
-    child = outline.withColumn("up_", F.nullif(up, F.lit("")))
-    above = outline.select(F.col("doc_id").alias("pd"), F.col("structure").alias("ps"), F.col("list_index").alias("pi"))
-    rows = child.join(above, (F.col("doc_id") == F.col("pd")) & (F.col("up_") == F.col("ps")) & (F.col("pi") < F.col("list_index")), "left")
-    keys = [F.col(c) for c in outline.columns]
-    return rows.groupBy(*keys).agg(F.max("pi").alias("parent_index"))
+    up = F.nullif(F.when(F.instr(code, ".") > 0, F.regexp_replace(code, r"\.[^.]*$", "")), F.lit(""))
+    own = F.struct(F.lit(True).alias("own"), code.alias("code"))
+    wants = F.struct(F.lit(False).alias("own"), up.alias("code"))
+    rows = outline.select(F.struct(*(F.col(f"`{c}`") for c in outline.columns)).alias("item"), F.explode(F.array(own, wants)).alias("role"))
+    earlier = Window.partitionBy("item.doc_id", "role.code").orderBy("item.list_index").rangeBetween(Window.unboundedPreceding, -1)
+    parent = F.max(F.when(F.col("role.own") & F.col("role.code").isNotNull(), F.col("item.list_index"))).over(earlier)
+    return rows.withColumn("parent_index", parent).filter("not role.own").select("item.*", "parent_index")
 
 
-def number(outline: DataFrame, max_depth: int = 64) -> DataFrame:
+def number(outline: DataFrame) -> DataFrame:
     """Adds depth (0 at roots), preorder (from 0) and node_id (four digits or more) to items with parent_index.
 
-    A node's path is its chain of list indices from the root; one document's nodes are ordered by it in one task,
-    as an outline is bounded by its document.
+    A node's path is its chain of list indices from the root, its parent's path and itself. One fold over a document's items
+    in order makes them all, as parents come first; the order of the paths is the preorder. An outline is
+    bounded by its document.
     """
-    from pyspark.sql import types as T
+    none = F.array().cast("array<int>")
+    item = F.struct(*(F.col(f"`{c}`") for c in outline.columns))
+    items = F.array_sort(F.collect_list(item), lambda a, b: F.signum(a["list_index"] - b["list_index"]).cast("int"))
+    docs = outline.groupBy("doc_id").agg(items.alias("items"))
+    index = lambda x: x["list_index"].cast("int")
 
-    edges = T.StructType([*outline.schema.fields, T.StructField("depth", T.IntegerType()), T.StructField("preorder", T.IntegerType())])
+    def grown(paths, x):
+        path = F.concat(F.coalesce(F.element_at(paths, x["parent_index"].cast("int")), none), F.array(index(x)))
+        return F.map_concat(paths, F.map_from_arrays(F.array(index(x)), F.array(path)))
 
-    def order(pdf):
-        children: dict = {}
-        for i, p in zip(pdf["list_index"], pdf["parent_index"], strict=True):
-            children.setdefault(None if p is None or p != p else int(p), []).append(int(i))
-        depth, place, stack = {}, {}, [(i, 0) for i in sorted(children.get(None, []), reverse=True)]
-        while stack:
-            i, d = stack.pop()
-            depth[i], place[i] = d, len(place)
-            stack += [(c, d + 1) for c in sorted(children.get(i, []), reverse=True)]
-        pdf["depth"], pdf["preorder"] = pdf["list_index"].map(depth), pdf["list_index"].map(place)
-        return pdf
+    def ordered(paths):
+        return F.array_sort(F.transform("items", lambda x, i: F.struct(F.element_at(paths, index(x)).alias("path"), i.alias("at"))))
 
-    rows = outline.groupBy("doc_id").applyInPandas(order, edges)
-    return rows.withColumn("node_id", F.format_string("%04d", "preorder"))
+    start = F.create_map().cast("map<int, array<int>>")
+    placed = docs.select("items", F.posexplode(F.aggregate("items", start, grown, ordered)).alias("preorder", "node"))
+    rows = placed.select(F.col("items")[F.col("node.at")].alias("item"), (F.size("node.path") - 1).alias("depth"), "preorder")
+    return rows.select("item.*", "depth", "preorder", F.format_string("%04d", "preorder").alias("node_id"))
 
 
 def build(outline: DataFrame) -> DataFrame:
@@ -116,8 +121,12 @@ def bottom_up(nodes: DataFrame, leaf_summary: str, summarize: Callable[[Column,
     return known.select("doc_id", "node_id", "summary")
 
 
-def to_nested(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree (JSON): nested nodes with title, node_id, start_index, end_index and nodes where there are any."""
+#: what a stored tree's nodes hold, and what a description of the document is made of
+STORED, DESCRIBED = ("title", "node_id", "start_index", "end_index"), ("title", "node_id", "summary")
+
+
+def to_nested(nodes: DataFrame, fields: Sequence[str] = STORED) -> DataFrame:
+    """doc_id, tree (JSON): nested nodes with the fields, in that order, and nodes where there are any."""
 
     def nest(pdf):
         import json
@@ -126,14 +135,62 @@ def to_nested(nodes: DataFrame) -> DataFrame:
 
         made, roots = {}, []
         for r in pdf.sort_values("preorder").to_dict("records"):
-            node = {"title": r["title"], "node_id": r["node_id"], "start_index": int(r["start_index"]) if r["start_index"] == r["start_index"] else None, "end_index": int(r["end_index"]) if r["end_index"] == r["end_index"] else None}
+            node = {f: None if r[f] is None or r[f] != r[f] else int(r[f]) if f.endswith("_index") else r[f] for f in fields}
             made[r["list_index"]] = node
             above = made.get(r["parent_index"])
             (roots if above is None else above.setdefault("nodes", [])).append(node)
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "tree": [json.dumps(roots, ensure_ascii=False)]})
 
     kind = nodes.schema["doc_id"].dataType.simpleString()
-    return nodes.select("doc_id", "list_index", "parent_index", "preorder", "node_id", "title", "start_index", "end_index").groupBy("doc_id").applyInPandas(nest, f"doc_id {kind}, tree string")
+    return nodes.select("doc_id", "list_index", "parent_index", "preorder", *fields).groupBy("doc_id").applyInPandas(nest, f"doc_id {kind}, tree string")
+
+
+def from_nested(trees: DataFrame, tree: str = "tree") -> DataFrame:
+    """Flat nodes of nested JSON trees: doc_id, preorder, parent (preorder of the node above; null at roots), depth, title, node_id, start_index, end_index, summary.
+
+    Missing fields have the values of an empty node: title '', node_id '0000', pages 1 to 1, no summary. A tree that is no
+    list of nodes has none.
+    """
+    import json
+
+    import pandas as pd
+
+    def flat(text: str | None) -> list[dict]:
+        try:
+            roots = json.loads(text or "[]")
+        except ValueError:
+            return []
+        out: list[dict] = []
+        stack = [(n, None, 0) for n in reversed(roots if isinstance(roots, list) else [])]
+        while stack:
+            n, parent, depth = stack.pop()
+            if not isinstance(n, dict):
+                continue
+            at = len(out)
+            out.append({"preorder": at, "parent": parent, "depth": depth, "title": n.get("title", ""), "node_id": n.get("node_id", "0000"), "start_index": n.get("start_index", 1), "end_index": n.get("end_index", 1), "summary": n.get("summary")})
+            stack += [(c, at, depth + 1) for c in reversed(n.get("nodes") or [])]
+        return out
+
+    def flats(texts):
+        return texts.map(flat)
+
+    flats.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    node = "preorder:int,parent:int,depth:int,title:string,node_id:string,start_index:int,end_index:int,summary:string"
+    made = F.pandas_udf(flats, f"array<struct<{node}>>")(F.col(tree))
+    return trees.select("doc_id", F.explode(made).alias("n")).select("doc_id", "n.*")
+
+
+def node_counts(nodes: DataFrame) -> DataFrame:
+    """doc_id, n_nodes."""
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
+
+
+def page_images(nodes: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, node_id, images: the paths of a node's page images (doc_id, page_index, path) that exist, by page; nodes without have an empty list."""
+    held = nodes.filter("end_index >= start_index").select("doc_id", "node_id", F.explode(F.sequence("start_index", "end_index")).alias("page_index"))
+    found = held.join(images.select("doc_id", "page_index", "path"), ["doc_id", "page_index"]).groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "path"))).alias("x"))
+    out = nodes.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left")
+    return out.select("doc_id", "node_id", F.coalesce(F.transform("x", lambda x: x["path"]), F.array().cast("array<string>")).alias("images"))
 
 
 def subdivide(nodes: DataFrame, outline_of: Callable[[DataFrame], DataFrame], pages: DataFrame, max_pages: int = 10, max_tokens: int = 18_000, max_rounds: int = 8) -> DataFrame:
