@@ -1,93 +1,204 @@
 """The whole way from documents to summarised section trees, for any provider.
 
-Each model step is one table of requests and one of replies; replies are written before they are used twice, since a
-retried task would ask again.
+An outline comes from a contents list with page numbers, from one without, or from the text itself; a document whose
+outline fails verification goes on to the next of the three.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.structured import outline_list, repair_json
-from ..functions.text import page_tag_number
+from ..functions.structured import outline_list
+from ..functions.text import clean_dot_leaders, page_number, page_tag_number, strip, wrap_page
 from ..operators import outline, pages, tree
-from ..provider import Provider, ask
+from ..provider import Provider
+from .steps import Run
 
-ITEM = "array<struct<structure:string,title:string,physical_index:string>>"
 KEYS = ["doc_id", "list_index"]
-
-
-def _asked(rows: DataFrame, prompt: str, inputs: dict, provider: Provider, path: str, keys: list[str], json_mode: bool = True) -> DataFrame:
-    """rows' keys with `reply`, from a table of replies at path."""
-    key = F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys))
-    pairs = [x for name, column in inputs.items() for x in (F.lit(name), column)]
-    requests = rows.select(key.alias("key"), F.lit(prompt).alias("prompt"), F.create_map(*pairs).alias("inputs"))
-    ask(requests, provider, json_mode).write.mode("overwrite").parquet(f"{path}/{prompt}")
-    replies = rows.sparkSession.read.parquet(f"{path}/{prompt}").select("key", F.col("text").alias("reply"))
-    return rows.withColumn("key", key).join(replies, "key").drop("key")
-
-
-def _field(name: str, default: str = "no"):
-    return F.coalesce(F.get_json_object(repair_json("reply"), f"$.{name}"), F.lit(default))
-
-
-def outlines(docs_pages: DataFrame, provider: Provider, path: str, max_tokens: int = 10_000) -> DataFrame:
-    """Outline items made chunk by chunk; items past the last page lose their index."""
-    parts = pages.chunk_texts(docs_pages, pages.chunks(docs_pages, max_tokens))
-    made = _asked(parts, "generate_toc_init", {"part": F.col("text")}, provider, path, ["doc_id", "chunk"])
-    items = made.select("doc_id", "chunk", F.posexplode(F.from_json(outline_list(repair_json("reply")), ITEM)).alias("k", "i"))
-    # overlapping chunks name a section twice: its first place counts
-    first = items.groupBy("doc_id", F.col("i.title").alias("title"), page_tag_number("i.physical_index").alias("physical_index")).agg(F.min(F.struct("chunk", "k")).alias("at"), F.min_by("i.structure", F.struct("chunk", "k")).alias("structure"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("physical_index", "at")) - 1
-    rows = first.select("doc_id", place.alias("list_index"), "structure", "title", F.lit(None).cast("int").alias("page"), "physical_index", F.col("physical_index").isNotNull().alias("has_physical_index"))
-    n = docs_pages.groupBy("doc_id").agg(F.max("page_index").alias("n_"))
-    return outline.drop_beyond(rows.join(n, "doc_id"), "n_").drop("n_")
-
-
-def checked(items: DataFrame, docs_pages: DataFrame, provider: Provider, path: str) -> DataFrame:
-    """Items with answer (title is on its page) and appear_start (title opens it); `no` without a page."""
-    on = docs_pages.select("doc_id", F.col("page_index").alias("physical_index"), F.col("text").alias("page_text"))
-    known = items.join(on, ["doc_id", "physical_index"]).select(*KEYS, "title", "page_text")
-    inputs = {"title": F.col("title"), "page_text": F.col("page_text")}
-    there = _asked(known, "check_title_appearance", inputs, provider, path, KEYS).select(*KEYS, _field("answer").alias("answer"))
-    opens = _asked(known, "check_title_appearance_in_start", inputs, provider, path, KEYS).select(*KEYS, _field("start_begin").alias("appear_start"))
-    no = {"answer": "no", "appear_start": "no"}
-    return items.join(there, KEYS, "left").join(opens, KEYS, "left").fillna(no)
-
-
-def corrected(items: DataFrame, docs_pages: DataFrame, provider: Provider, path: str) -> DataFrame:
-    """Items of documents that are to be fixed, with failing indices asked for again between their correct neighbours."""
-    n = docs_pages.groupBy("doc_id").agg(F.max("page_index").alias("n_"))
-    failing = outline.correct_anchors(items.join(n, "doc_id"), F.col("answer") != "yes", "n_").filter("answer <> 'yes' and physical_index is not null")
-    spread = failing.filter("following >= previous").select(*KEYS, "title", F.explode(F.sequence(F.greatest(F.col("previous"), F.lit(1)), "following")).alias("page_index"))
-    texts = spread.join(docs_pages.select("doc_id", "page_index", "text"), ["doc_id", "page_index"])
-    tagged = F.transform(F.array_sort(F.collect_list(F.struct("page_index", "text"))), lambda x: F.format_string("<physical_index_%d>\n%s\n<physical_index_%d>\n\n", x["page_index"], x["text"], x["page_index"]))
-    content = texts.groupBy(*KEYS, "title").agg(F.array_join(tagged, "").alias("content"))
-    found = _asked(content, "single_toc_item_index_fixer", {"section_title": F.col("title"), "content": F.col("content")}, provider, path, KEYS)
-    index = page_tag_number(_field("physical_index", ""))
-    fixed = found.select(*KEYS, index.alias("physical_index"), index.isNotNull().alias("is_valid"))
-    return outline.write_back(items, fixed)[0].withColumn("answer", F.lit("yes"))
-
-
-def build(docs: DataFrame, provider: Provider, path: str, max_tokens: int = 10_000, overlap: int = 1) -> DataFrame:
+ITEMS = [*KEYS, "structure", "title", "page", "physical_index", "has_physical_index"]
+FIX_ROUNDS = 3
+CHECK_PAGES = 25
+
+
+class Build(Run):
+    """A run over the pages of documents."""
+
+    def __init__(self, docs: DataFrame, provider: Provider, path: str, max_tokens: int = 10_000, separator: str = "\n"):
+        super().__init__(docs.sparkSession, provider, path)
+        self.max_tokens = max_tokens
+        self.pages = self.written(pages.pages_of(docs, separator=separator), "pages")
+        self.n_pages = self.written(self.pages.groupBy("doc_id").agg(F.max("page_index").alias("n_")), "n_pages")
+
+    # --- contents lists
+
+    def contents(self) -> DataFrame:
+        """doc_id, toc, has_numbers, last_ (position of its last page) of the documents that have a contents list."""
+        sized = self.pages.join(self.n_pages, "doc_id").withColumn("limit_", pages.contents_cap("n_", CHECK_PAGES)).withColumn("at_", F.col("page_index") - 1)
+        sized = self.written(sized, "looked_at")
+        frontier, answers = sized.filter("at_ < limit_"), None
+        while True:
+            told = self.asked(frontier, "toc_detector_single_page", {"content": "text"}, ["doc_id", "page_index"])
+            told = told.select("doc_id", "page_index", "limit_", F.coalesce(F.get_json_object("json", "$.toc_detected"), F.lit("no")).alias("answer"))
+            answers = self.written(told if answers is None else answers.unionByName(told), "contents_pages")
+            # a run that is open at the last page looked at goes on
+            last = answers.groupBy("doc_id").agg(F.max("page_index").alias("done_"), F.max_by("answer", "page_index").alias("last_answer"))
+            frontier = self.written(sized.join(last.filter("last_answer = 'yes'"), "doc_id").filter("page_index > done_ and page_index <= done_ + limit_").drop("done_", "last_answer"), "more_pages")
+            if frontier.isEmpty():
+                break
+        runs = self.written(pages.contents_runs(answers, "answer", F.col("limit_")), "runs")
+        texts = runs.join(self.pages.select("doc_id", (F.col("page_index") - 1).alias("position"), "text"), ["doc_id", "position"])
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "")
+        lists = self.written(texts.groupBy("doc_id", "run").agg(clean_dot_leaders(whole).alias("toc"), F.max("position").alias("last_")), "contents_lists")
+        numbered = self.asked(lists, "detect_page_index", {"toc_content": "toc"}, ["doc_id", "run"]).select("doc_id", "run", (F.get_json_object("json", "$.page_index_given_in_toc") == "yes").alias("has_numbers"))
+        numbered = self.written(numbered, "numbered")
+        return self.written(lists.join(pages.pick_run(runs, numbered), ["doc_id", "run"]).join(numbered, ["doc_id", "run"]).drop("run"), "contents")
+
+    def parts(self, docs: DataFrame) -> DataFrame:
+        """doc_id, chunk, text of the documents in docs."""
+        some = self.pages.join(docs.select("doc_id"), "doc_id", "left_semi")
+        return self.written(pages.chunk_texts(some, pages.chunks(some, self.max_tokens)), "parts")
+
+    def tagged(self, spans: DataFrame, keys: Sequence[str], first: str, last: str) -> DataFrame:
+        """keys and content: the tagged pages from first to last of every row of spans."""
+        wanted = spans.filter(f"{last} >= greatest({first}, 1)").select(*keys, F.explode(F.sequence(F.greatest(F.col(first), F.lit(1)), F.col(last))).alias("page_index"))
+        rows = wanted.join(self.pages.select("doc_id", "page_index", wrap_page("page_index", "text").alias("text")), ["doc_id", "page_index"])
+        return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "text"))), lambda x: x["text"]), "").alias("content"))
+
+    # --- outlines, one function for each way
+
+    def _items(self, rows: DataFrame, *order: str) -> DataFrame:
+        """Items of the outlines in `json`, numbered by document."""
+        listed = rows.select("doc_id", *order, F.posexplode(F.from_json(outline_list("json"), "array<map<string,string>>")).alias("k", "i"))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order, "k")) - 1
+        i = lambda name: F.col("i")[name]
+        return listed.select("doc_id", place.alias("list_index"), i("structure").alias("structure"), i("title").alias("title"), page_number(i("page")).alias("page"), page_tag_number(i("physical_index")).alias("physical_index"), F.map_contains_key("i", "physical_index").alias("has_physical_index"))
+
+    def _as_json(self, items: DataFrame) -> DataFrame:
+        """doc_id, outline: the items as a JSON list, without page numbers."""
+        item = F.struct("structure", "title", F.when(F.col("physical_index").isNotNull(), F.format_string("<physical_index_%d>", "physical_index")).alias("physical_index"))
+        return items.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("list_index", item.alias("x")))), lambda s: s["x"])).alias("outline"))
+
+    def transformed(self, lists: DataFrame) -> DataFrame:
+        return self.written(self._items(self.asked(lists, "toc_transformer", {"toc_content": "toc"}, ["doc_id"])), "transformed")
+
+    def with_page_numbers(self, lists: DataFrame) -> DataFrame:
+        """Printed page numbers moved by the offset that the titles found in the text show; the rest asked for between known neighbours."""
+        items = self.transformed(lists)
+        spans = lists.select("doc_id", (F.col("last_") + 2).alias("first_"), (F.col("last_") + 1 + CHECK_PAGES).alias("end_"))
+        found = self.written(self.tagged(spans, ["doc_id"], "first_", "end_").join(self._as_json(items), "doc_id", "left").fillna({"outline": "[]"}), "after_contents")
+        indexed = self.written(self._items(self.asked(found, "toc_index_extractor", {"toc": "outline", "content": "content"}, ["doc_id"])), "indexed")
+        starts = lists.select("doc_id", (F.col("last_") + 1).alias("start_"))
+        pairs = outline.match_titles(items, indexed.join(starts, "doc_id").filter("physical_index >= start_"), 0)
+        moved = self.written(outline.apply_offset(items, outline.page_offset(pairs)), "moved")
+        open_ = self.written(outline.missing_items(moved), "open")
+        if open_.isEmpty():
+            return moved
+        texts = self.written(self.tagged(open_, [*KEYS, "structure", "title"], "previous", "following"), "open_pages")
+        told = self.asked(texts, "add_page_number_to_toc", {"part": "content", "structure": F.to_json(F.struct("structure", "title"))}, KEYS)
+        first = page_tag_number(F.get_json_object(outline_list("json"), "$[0].physical_index"))
+        fixed = told.select(*KEYS, first.alias("physical_index"), first.isNotNull().alias("is_valid"))
+        return self.written(outline.write_back(moved, fixed)[0], "completed")
+
+    def without_page_numbers(self, lists: DataFrame) -> DataFrame:
+        """Pages of the contents' titles, asked for chunk by chunk; a chunk's reply is the next one's outline."""
+        items, parts = self.transformed(lists), self.parts(lists)
+        for k in range((parts.agg(F.max("chunk")).first()[0] or -1) + 1):
+            rows = self.written(parts.filter(F.col("chunk") == k).join(self._as_json(items), "doc_id", "left").fillna({"outline": "[]"}), "part")
+            told = self._items(self.asked(rows, "add_page_number_to_toc", {"part": "text", "structure": "outline"}, ["doc_id"]))
+            items = self.written(told.unionByName(items.join(rows.select("doc_id"), "doc_id", "left_anti")), "numbered")
+        return items
+
+    def from_text(self, docs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Sections found in the text chunk by chunk, with what was found before, and a contents list as a hint at first."""
+        parts = self.parts(docs).join(lists.select("doc_id", "toc"), "doc_id", "left")
+        parts, made = self.written(parts, "hinted"), None
+        for k in range((parts.agg(F.max("chunk")).first()[0] or 0) + 1):
+            part = parts.filter(F.col("chunk") == k)
+            if k:
+                rows = self.written(part.join(self._as_json(made), "doc_id", "left"), "part")
+                told = self.asked(rows, "generate_toc_continue", {"part": "text", "toc_content": F.coalesce("outline", F.lit("[]"))}, ["doc_id"]).select("doc_id", "chunk", "json")
+            else:
+                rows = [self.written(part.filter(c), "part") for c in ("toc is null", "toc is not null")]
+                told = self.asked(rows[0], "generate_toc_init", {"part": "text"}, ["doc_id"]).select("doc_id", "chunk", "json")
+                told = told.unionByName(self.asked(rows[1], "generate_toc_init_with_hint", {"part": "text", "toc_hint": "toc"}, ["doc_id"]).select("doc_id", "chunk", "json"))
+            more = self._items(told, "chunk")
+            if made is not None:
+                have = made.groupBy("doc_id").agg((F.max("list_index") + 1).alias("have_"))
+                more = made.unionByName(more.join(have, "doc_id", "left").withColumn("list_index", F.col("list_index") + F.coalesce("have_", F.lit(0))).drop("have_"))
+            made = self.written(more, "made")
+        return made
+
+    # --- verification
+
+    def checked(self, items: DataFrame) -> DataFrame:
+        """Items with answer (title is on its page) and appear_start (title opens it); `no` without a page."""
+        on = self.pages.select("doc_id", F.col("page_index").alias("physical_index"), F.col("text").alias("page_text"))
+        known = self.written(items.join(on, ["doc_id", "physical_index"]).select(*KEYS, "title", "page_text"), "known")
+        inputs = {"title": "title", "page_text": "page_text"}
+        there = self.asked(known, "check_title_appearance", inputs, KEYS).select(*KEYS, F.get_json_object("json", "$.answer").alias("answer"))
+        opens = self.asked(known, "check_title_appearance_in_start", inputs, KEYS).select(*KEYS, F.get_json_object("json", "$.start_begin").alias("appear_start"))
+        return self.written(items.join(there, KEYS, "left").join(opens, KEYS, "left").fillna({"answer": "no", "appear_start": "no"}), "checked")
+
+    def fixed(self, items: DataFrame) -> DataFrame:
+        """Items with the indices that failed asked for again between their correct neighbours, and checked there, up to FIX_ROUNDS times."""
+        for _ in range(FIX_ROUNDS):
+            around = outline.correct_anchors(items.join(self.n_pages, "doc_id"), F.col("answer") != "yes", "n_")
+            failing = self.written(around.filter("answer <> 'yes'"), "failing")
+            if failing.isEmpty():
+                break
+            content = self.written(self.tagged(failing, [*KEYS, "title"], "previous", "following"), "around")
+            told = self.asked(content, "single_toc_item_index_fixer", {"section_title": "title", "content": "content"}, KEYS)
+            moved = self.written(told.select(*KEYS, "title", page_tag_number(F.get_json_object("json", "$.physical_index")).alias("physical_index")).filter("physical_index is not null"), "moved")
+            again = self.checked(moved).select(*KEYS, "physical_index", F.col("answer").alias("new_"), F.col("appear_start").alias("opens_"))
+            good = again.filter("new_ = 'yes'").withColumn("is_valid", F.lit(True))
+            items = outline.write_back(items, good.drop("new_", "opens_"))[0].join(good.select(*KEYS, "new_", "opens_"), KEYS, "left")
+            items = self.written(items.withColumns({"answer": F.coalesce("new_", "answer"), "appear_start": F.coalesce("opens_", "appear_start")}).drop("new_", "opens_"), "fixed")
+        return items
+
+    def verified(self, items: DataFrame, last: bool) -> DataFrame:
+        """The checked items of the documents whose outline is accepted, or fixed; the last way's are kept as they are."""
+        known = outline.located(outline.drop_beyond(items.select(*ITEMS).join(self.n_pages, "doc_id"), "n_")).drop("n_")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("list_index")) - 1
+        checked = self.checked(self.written(known.withColumn("list_index", place), "located"))
+        verdict = outline.verification(checked.join(self.n_pages, "doc_id"), "n_").select("doc_id", outline.route("accuracy", F.size("failures")).alias("next_"))
+        routed = self.written(checked.join(verdict, "doc_id"), "routed")
+        mended = self.fixed(routed.filter("next_ = 'fix'").drop("next_"))
+        return self.written(mended.unionByName(routed.filter("next_ = 'accept'" if not last else "next_ <> 'fix'").drop("next_")), "verified")
+
+    def outlines(self) -> DataFrame:
+        """Verified items of all documents that have any."""
+        lists = self.contents()
+        done, left = None, self.n_pages.select("doc_id")
+        ways = [(self.with_page_numbers, lists.filter("has_numbers")), (self.without_page_numbers, lists), (lambda d: self.from_text(d, lists), self.n_pages)]
+        for i, (way, fit) in enumerate(ways):
+            some = self.written(fit.join(left, "doc_id", "left_semi"), "some")
+            if some.isEmpty():
+                continue
+            good = self.verified(way(some), i == len(ways) - 1)
+            done = good if done is None else done.unionByName(good)
+            left = self.written(left.join(good, "doc_id", "left_anti"), "left")
+        return done
+
+
+def build(docs: DataFrame, provider: Provider, path: str, max_tokens: int = 10_000, overlap: int = 1, separator: str = "\n") -> DataFrame:
     """Nodes with summaries: doc_id, node_id, parent_index, list_index, depth, title, start_index, end_index, summary.
 
-    Outlines that verification accepts or that can be fixed are used; a document without one becomes one node, `Document`.
+    A document without an outline becomes one node, `Document`. docs: doc_id, text; null and empty texts have no nodes.
     """
-    docs_pages = pages.pages_of(docs)
-    n = docs_pages.groupBy("doc_id").agg(F.max("page_index").alias("n_"))
-    items = checked(outlines(docs_pages, provider, path, max_tokens), docs_pages, provider, path)
-    verdict = outline.verification(items.join(n, "doc_id"), "n_").select("doc_id", outline.route("accuracy", F.size("failures")).alias("next"))
-    routed = items.join(verdict, "doc_id")
-    kept = routed.filter("next = 'accept'").drop("next").unionByName(corrected(routed.filter("next = 'fix'").drop("next"), docs_pages, provider, path))
-    located = outline.with_preface(outline.located(kept))
-    alone = n.join(located.select("doc_id").distinct(), "doc_id", "left_anti")
-    whole = alone.select(*(F.col("doc_id") if c == "doc_id" else {"list_index": F.lit(0), "structure": F.lit("1"), "title": F.lit("Document"), "physical_index": F.lit(1), "has_physical_index": F.lit(True)}.get(c, F.lit(None)).cast(located.schema[c].dataType).alias(c) for c in located.columns))
-    ranged = outline.section_ranges(located.unionByName(whole).join(n, "doc_id"), "n_").drop("n_")
-    nodes = tree.build(ranged)
-    texts = tree.node_texts(nodes, docs_pages, overlap)
-    summaries = _asked(texts, "generate_node_summary", {"node_text": F.col("text")}, provider, path, ["doc_id", "node_id"], json_mode=False).select("doc_id", "node_id", F.col("reply").alias("summary"))
+    docs = docs.select("doc_id", "text").filter(F.length(strip("text")) > 0)
+    run = Build(docs, provider, path, max_tokens, separator)
+    located = run.outlines()
+    if located is None:
+        return run.spark.createDataFrame([], "doc_id long, node_id string, parent_index int, list_index int, depth int, title string, start_index int, end_index int, summary string")
+    located = run.written(outline.with_preface(located), "prefaced")
+    alone = run.n_pages.join(located.select("doc_id").distinct(), "doc_id", "left_anti")
+    values = {"list_index": F.lit(0), "structure": F.lit("1"), "title": F.lit("Document"), "physical_index": F.lit(1), "has_physical_index": F.lit(True)}
+    whole = alone.select(*(F.col("doc_id") if c == "doc_id" else values.get(c, F.lit(None)).cast(located.schema[c].dataType).alias(c) for c in located.columns))
+    ranged = outline.section_ranges(located.unionByName(whole).join(run.n_pages, "doc_id"), "n_").drop("n_")
+    nodes = run.written(tree.build(ranged), "nodes")
+    texts = run.written(tree.node_texts(nodes, run.pages, overlap), "texts")
+    summaries = run.asked(texts, "generate_node_summary", {"node_text": "text"}, ["doc_id", "node_id"], json_mode=False).select("doc_id", "node_id", F.col("reply").alias("summary"))
     return nodes.join(summaries, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "parent_index", "list_index", "depth", "title", "start_index", "end_index", "summary")

@@ -30,7 +30,7 @@ np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1)"""
 SQL_OUTLINE = (
     SQL_PAGES
     + """,
-o1 AS (SELECT doc_id, page_index, tokens, substr(text, 1, 24) AS title, (row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1)::INT AS list_index
+o1 AS (SELECT doc_id, page_index, tokens, text AS title, (row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1)::INT AS list_index
        FROM pg WHERE tokens BETWEEN 1 AND 9),
 ol AS (SELECT doc_id, list_index, CASE WHEN list_index % 4 = 0 THEN (list_index // 4 + 1)::VARCHAR
               WHEN list_index % 4 = 3 THEN (list_index // 4 + 1)::VARCHAR || '.2.' || (list_index % 4)::VARCHAR
@@ -49,7 +49,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.pages_of(_read(spark, sf, "documents"))
 
 
-def _outline(spark: SparkSession, sf: str, title: str = "substr(text, 1, 24)") -> DataFrame:
+def _outline(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     short = _pages(spark, sf).filter("tokens between 1 and 9")
@@ -58,7 +58,7 @@ def _outline(spark: SparkSession, sf: str, title: str = "substr(text, 1, 24)") -
     return rows.selectExpr(
         "doc_id", "list_index",
         "case when list_index % 4 = 0 then cast(list_index div 4 + 1 as string) when list_index % 4 = 3 then concat(list_index div 4 + 1, '.2.', list_index % 4) else concat(list_index div 4 + 1, '.', list_index % 4) end as structure",
-        f"{title} as title", "page_index + 2 + if(tokens % 3 = 0, 1, 0) as page", "if(tokens % 5 <> 4, page_index, null) as physical_index",
+        "text as title", "page_index + 2 + if(tokens % 3 = 0, 1, 0) as page", "if(tokens % 5 <> 4, page_index, null) as physical_index",
         "tokens % 5 <> 3 as has_physical_index", "if(tokens % 2 = 0, 'yes', 'no') as appear_start", "if(tokens % 3 = 1, 'no', 'yes') as answer",
     )
 
@@ -201,15 +201,8 @@ def physical_index_parse(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", T.page_tag_number(tag).alias("number"), T.page_tag_or_text(tag).alias("label"), T.page_number(F.expr("if(doc_id % 3 = 2, concat('p', doc_id), concat(' ', doc_id))")).alias("page"))
 
 
-@query(_on_docs(cleaned="regexp_replace(substr(text, 1, 20), '[.]+$', '') || ': ' || doc_id || ' x: '"))
-def dot_leader_clean(spark, sf):
-    c = F.expr("concat(substr(text, 1, 20), '.......', doc_id, ' x. . . . . .')")
-    return _read(spark, sf, "documents").select("doc_id", T.clean_dot_leaders(c).alias("cleaned"))
-
-
 @query(_on_docs(cleaned=r"regexp_replace(regexp_replace(text || '.......' || doc_id || ' x. . . . . .', '[.]{5,}', ': ', 'g'), '([.] ){5,}[.]?', ': ', 'g')"))
-def dot_leader_clean_all(spark, sf):
-    """Over whole texts."""
+def dot_leader_clean(spark, sf):
     c = F.expr("concat(text, '.......', doc_id, ' x. . . . . .')")
     return _read(spark, sf, "documents").select("doc_id", T.clean_dot_leaders(c).alias("cleaned"))
 
@@ -310,51 +303,26 @@ def seed_entities(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", E.seeds_in(F.expr(_CHEM)).alias("seeds"))
 
 
-def _sql_hits(pattern: str) -> str:
-    return f"regexp_extract_all(t, '{pattern}')"
-
-
-@query(f"SELECT doc_id, {_sql_hits(E.FORMULA)} AS formulas, {_sql_hits(E.SODIUM_SALT)} AS salts, {_sql_hits(E.SOLID_ELECTROLYTE)} AS electrolytes, {_sql_hits(E.LAYERED_OXIDE)} AS oxides, {_sql_hits(E.MEASURE)} AS measures FROM (SELECT doc_id, {_SQL_CHEM} AS t FROM documents WHERE lang = 'en')")
-def formula_entities(spark, sf):
-    docs = _read(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.expr(_CHEM).alias("t"))
-    return docs.select("doc_id", *(E.pattern_hits("t", p).alias(n) for n, p in (("formulas", E.FORMULA), ("salts", E.SODIUM_SALT), ("electrolytes", E.SOLID_ELECTROLYTE), ("oxides", E.LAYERED_OXIDE), ("measures", E.MEASURE))))
-
+# words and their ends are those of all languages; DuckDB's regexes know ASCII's only, so the rest has no SQL
 
-_SQL_ENTITIES = f"""SELECT doc_id, list_sort(list_filter(list_distinct(list_concat(list_filter({_SQL_SEEDS}, lambda s: contains(t, s) OR (NOT regexp_matches(s, '^[A-Z]') AND contains(lower(t), lower(s)))),
-  {_sql_hits(E.FORMULA)}, {_sql_hits(E.SODIUM_SALT)}, {_sql_hits(E.SOLID_ELECTROLYTE)}, {_sql_hits(E.LAYERED_OXIDE)}, {_sql_hits(E.MEASURE)})), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+[.]?[0-9]*'))) AS found
-  FROM (SELECT doc_id, {_SQL_CHEM} AS t FROM documents WHERE lang = 'en')"""
 
-
-@query(_SQL_ENTITIES)
-def document_entities(spark, sf):
-    return _read(spark, sf, "documents").filter("lang = 'en'").select("doc_id", E.entities(F.expr(_CHEM)).alias("found"))
-
-
-@query(f"SELECT entity, count(*) AS n_docs FROM (SELECT unnest(found) AS entity FROM ({_SQL_ENTITIES})) GROUP BY 1")
-def entity_doc_counts(spark, sf):
-    return document_entities(spark, sf).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_docs"))
-
-
-# the same over the documents of all languages; DuckDB's regexes differ there, so without SQL
-
-
-def _all_chem(spark: SparkSession, sf: str) -> DataFrame:
+def _chem(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", F.expr(f"coalesce({_CHEM}, '')").alias("t"))
 
 
 @query()
-def formula_entities_all(spark, sf):
-    return _all_chem(spark, sf).select("doc_id", *(E.pattern_hits("t", p).alias(n) for n, p in (("formulas", E.FORMULA), ("salts", E.SODIUM_SALT), ("electrolytes", E.SOLID_ELECTROLYTE), ("oxides", E.LAYERED_OXIDE), ("measures", E.MEASURE))))
+def formula_entities(spark, sf):
+    return _chem(spark, sf).select("doc_id", *(E.pattern_hits("t", p).alias(n) for n, p in (("formulas", E.FORMULA), ("salts", E.SODIUM_SALT), ("electrolytes", E.SOLID_ELECTROLYTE), ("oxides", E.LAYERED_OXIDE), ("measures", E.MEASURE))))
 
 
 @query()
-def document_entities_all(spark, sf):
-    return _all_chem(spark, sf).select("doc_id", E.entities("t").alias("found"))
+def document_entities(spark, sf):
+    return _chem(spark, sf).select("doc_id", E.entities("t").alias("found"))
 
 
 @query()
-def entity_doc_counts_all(spark, sf):
-    return document_entities_all(spark, sf).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_docs"))
+def entity_doc_counts(spark, sf):
+    return document_entities(spark, sf).select(F.explode("found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_docs"))
 
 
 # --- outlines
@@ -385,22 +353,6 @@ def page_offset(spark, sf):
     return outline.page_offset(outline.match_titles(items, items, 2))
 
 
-def _whole_titles(sql: str) -> str:
-    return sql.replace("substr(text, 1, 24) AS title", "text AS title")
-
-
-@query(_whole_titles(f"{_SQL_PAIRS} SELECT doc_id, title, page, physical_index FROM pairs"))
-def title_matches_all(spark, sf):
-    items = _outline(spark, sf, "text")
-    return outline.match_titles(items, items, 2).drop("pos_")
-
-
-@query(_whole_titles(f"{_SQL_OFFSET} SELECT doc_id, d AS page_offset FROM w WHERE k = 1"))
-def page_offset_all(spark, sf):
-    items = _outline(spark, sf, "text")
-    return outline.page_offset(outline.match_titles(items, items, 2))
-
-
 @query(f"{_SQL_OFFSET} SELECT ol.doc_id, list_index, CASE WHEN d IS NULL THEN physical_index ELSE page + d END AS physical_index, CASE WHEN d IS NULL THEN page END AS page FROM ol LEFT JOIN (SELECT doc_id, d FROM w WHERE k = 1) USING (doc_id)")
 def offset_application(spark, sf):
     items = _outline(spark, sf)
@@ -506,6 +458,23 @@ def nested_tree(spark, sf):
     return tree.to_nested(_nodes(spark, sf))
 
 
+@query(f"WITH {SQL_NODES} SELECT n.doc_id, n.preorder, p.preorder AS parent, n.depth, n.title, n.node_id, n.start_index, n.end_index, NULL::VARCHAR AS summary FROM nodes_ n LEFT JOIN nodes_ p ON n.doc_id = p.doc_id AND n.parent_index = p.list_index")
+def flattened_tree(spark, sf):
+    """Nested trees read back as flat nodes."""
+    return tree.from_nested(tree.to_nested(_nodes(spark, sf)))
+
+
+@query(f"WITH {SQL_NODES} SELECT doc_id, count(*) AS n_nodes FROM nodes_ GROUP BY 1")
+def node_counts(spark, sf):
+    return tree.node_counts(_nodes(spark, sf))
+
+
+@query(f"WITH {SQL_NODES} SELECT doc_id, node_id, coalesce((SELECT list('p' || pg.page_index ORDER BY pg.page_index) FROM pg WHERE pg.doc_id = n.doc_id AND pg.tokens % 2 = 0 AND pg.page_index BETWEEN n.start_index AND n.end_index), []) AS images FROM nodes_ n")
+def page_images(spark, sf):
+    images = _pages(spark, sf).filter("tokens % 2 = 0").select("doc_id", "page_index", F.concat(F.lit("p"), "page_index").alias("path"))
+    return tree.page_images(_nodes(spark, sf), images)
+
+
 @query(f"""{_SQL_HELD}, e AS (SELECT pg.doc_id, page_index, list_distinct(regexp_extract_all(text, '[A-Z]{{4,}}')) AS w FROM pg)
 SELECT doc_id, node_id, count(*) AS n_pages, coalesce(sum(tokens), 0)::BIGINT AS n_tokens, sum(len(w))::BIGINT AS n_capitals FROM h JOIN pg USING (doc_id, page_index) JOIN e USING (doc_id, page_index) GROUP BY 1, 2""")
 def sections_with_entities(spark, sf):
@@ -530,6 +499,23 @@ def figure_panels(spark, sf):
     return rows.select("doc_id", "format", F.col("body.truncated").alias("truncated"), p[0]["title"].alias("title"), F.when(F.col("body").isNotNull(), F.size(p)).alias("n_panels"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'figure_analysis' WHEN doc_id % 4 = 2 THEN 'layout_html' WHEN lang IS NOT NULL THEN 'unknown' END AS format, CASE WHEN doc_id % 4 < 2 THEN doc_id % 4 = 1 END AS truncated,
+CASE WHEN doc_id % 8 IN (1, 4) THEN 0 WHEN doc_id % 4 < 2 THEN 1 END AS n_panels, CASE WHEN doc_id % 8 = 1 THEN 'unrecoverable' WHEN doc_id % 8 = 4 THEN 'json' END AS error, CASE WHEN doc_id % 4 = 3 THEN substr(lang || ' ' || text, 1, 500) END AS raw_head FROM documents""")
+def reply_envelope(spark, sf):
+    c = F.expr("""case when doc_id % 8 = 1 then '<analyze>[{"titles' when doc_id % 8 = 4 then concat('<analyze>', lang, '{</analyze>') when doc_id % 4 = 0 then concat('<analyze>{"titles":"', lang, '"}</analyze>')
+        when doc_id % 4 = 1 then concat('<analyze>[{"titles":"', lang, '"},{"x_la') when doc_id % 4 = 2 then concat('<div data-label="Text">', text) else concat(lang, ' ', text) end""")
+    e = _read(spark, sf, "documents").select("doc_id", X.envelope(c).alias("e"))
+    return e.select("doc_id", "e.format", "e.truncated", F.when(F.col("e.panels").isNotNull(), F.size("e.panels")).alias("n_panels"), "e.error", "e.raw_head")
+
+
+@query("""SELECT doc_id, '<div class="analysis-block"><h4>' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Subplot 1' END || '</h4><dl><dt>X Labels</dt><dd>' || source || '</dd></dl></div>' AS html, [{'series': lang, 'x': doc_id::VARCHAR}, {'series': 'b', 'x': '2'}] AS points FROM documents""")
+def panel_rendering(spark, sf):
+    body = F.expr("""concat('[{', if(doc_id % 2 = 0, concat('"titles":"', lang, '",'), ''), '"x_labels":"', source, '"}]')""")
+    reply = F.concat(F.lit("<analyze>"), body, F.expr("""concat('</analyze> [[{"series":"', lang, '","x":', doc_id, '}],{"series":"b","x":2}]')"""))
+    points = F.transform(X.trailing_points(reply), lambda p: F.struct(p["series"].alias("series"), p["x"].alias("x")))
+    return _read(spark, sf, "documents").select("doc_id", X.render_panels(X.figure_body(reply)["json"]).alias("html"), points.alias("points"))
+
+
 @query("""SELECT page_id, unnest([0, 1])::INT AS block_index, unnest(['Text', 'Math']) AS label, unnest([[1, 2, 3, page_id::INT], NULL]) AS bbox, unnest(['page ' || page_id, 'x 1']) AS text FROM pages""")
 def layout_blocks(spark, sf):
     html = F.expr("""concat('skip<div data-bbox="1 2 3 ', page_id, '" data-label="Text"><div><p>page ', page_id, '</p></div></div><div data-label="Math"><math>x</math> <b>1</b></div><div data-label="open">lost')""")
@@ -538,11 +524,8 @@ def layout_blocks(spark, sf):
 
 
 def _blocks(pages_: DataFrame) -> DataFrame:
-    spark = pages_.sparkSession
-    spark.udtf.register("layout_blocks", X.LayoutBlocks)
-    pages_.createOrReplaceTempView("pages_with_blocks")
-    found = spark.sql("SELECT p.page_id, b.block_index, b.label, b.bbox, b.html FROM pages_with_blocks p, LATERAL layout_blocks(p.html) b")
-    return found.select("page_id", "block_index", "label", T.parse_bbox("bbox").alias("bbox"), X.block_columns("html")["text"].alias("text"))
+    found = pages_.select("page_id", F.posexplode(X.blocks("html")).alias("block_index", "b"))
+    return found.select("page_id", "block_index", F.col("b.label").alias("label"), T.parse_bbox("b.bbox").alias("bbox"), X.block_columns("b.html")["text"].alias("text"))
 
 
 # --- layout
@@ -586,7 +569,15 @@ def region_counts(spark, sf):
     return layout.region_counts(d)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_DET}, e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY det_index) AS r FROM det WHERE label IN ('figure', 'table', 'isolate_formula')),
+c AS (SELECT doc_id, page_index, list({{'i': det_index, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY det_index) AS caps FROM det WHERE label IN ('figure_caption', 'table_caption') GROUP BY 1, 2),
+f AS (SELECT e.*, coalesce(caps, []) AS caps FROM e LEFT JOIN c USING (doc_id, page_index)),
+w AS (SELECT doc_id, page_index, 0::BIGINT AS r, NULL::INT AS det_index, NULL::BIGINT AS caption_index, []::INT[] AS used FROM f WHERE r = 1
+  UNION ALL SELECT doc_id, page_index, r, det_index, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best::INT) END FROM (
+    SELECT f.doc_id, f.page_index, f.r, f.det_index, w.used, list_sort(list_filter(list_transform(list_filter(f.caps, lambda k: NOT list_contains(w.used, k.i) AND abs(f.x0 + f.x1 - k.x0 - k.x1) / 2 <= (f.x1 - f.x0) * 0.6),
+      lambda k: {{'g': CASE WHEN k.y0 - f.y1 BETWEEN 0 AND 80 THEN k.y0 - f.y1 WHEN f.y0 - k.y1 BETWEEN 0 AND 80 THEN f.y0 - k.y1 END, 'i': k.i}}), lambda x: x.g IS NOT NULL))[1].i AS best
+    FROM w JOIN f ON w.doc_id = f.doc_id AND w.page_index = f.page_index AND f.r = w.r + 1))
+SELECT doc_id, page_index, det_index, caption_index FROM w WHERE r > 0""")
 def caption_pairs(spark, sf):
     return layout.captions(_detections(spark, sf))
 
@@ -650,6 +641,36 @@ def series_tables(spark, sf):
 # --- model-backed steps by rules
 
 
+def _run_path(spark: SparkSession) -> str:
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+@query()
+def build_trees(spark, sf):
+    """Documents to summarised trees."""
+    from ..provider import RuleProvider
+    from .build import build
+
+    return build(_read(spark, sf, "documents").select("doc_id", "text"), RuleProvider(), _run_path(spark))
+
+
+@query()
+def enriched_trees(spark, sf):
+    """Elements recognised, put in their nodes, and the nodes summarised again with them."""
+    from ..provider import RuleProvider
+    from . import enrich
+
+    nodes = _nodes(spark, sf).withColumn("summary", F.col("title"))
+    found = layout.with_ids(layout.wanted(_detections(spark, sf), layout.CONTENT)).withColumn("asset_path", F.when(F.col("det_index") % 3 > 0, F.concat_ws("/", F.lit("a"), "element_id")))
+    path = _run_path(spark)
+    placed = enrich.assigned(enrich.recognised(found, RuleProvider(), path), nodes)
+    return enrich.resummarised(nodes, placed, RuleProvider(), path).select("doc_id", "node_id", "summary")
+
+
 @query()
 def title_checks(spark, sf):
     from ..provider import RuleProvider, ask

@@ -32,11 +32,11 @@ def test_query_equals_its_sql(spark, con, name):
 def test_entities_of_all_languages(spark, tmp_path):
     docs = [(1, "NaClO4 in PC", "en"), (2, "NaBF4 在 DME 中", "zh"), (3, "Lösung von NaFSI", None), (4, None, "de")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    salts = {r.doc_id: r.salts for r in catalogue.QUERIES["formula_entities_all"](spark, str(tmp_path)).collect()}
+    salts = {r.doc_id: r.salts for r in catalogue.QUERIES["formula_entities"](spark, str(tmp_path)).collect()}
     assert salts == {1: ["NaClO4", "NaPF6"], 2: ["NaBF4", "NaPF6"], 3: ["NaFSI", "NaPF6"], 4: []}
-    found = {r.doc_id: set(r.found) for r in catalogue.QUERIES["document_entities_all"](spark, str(tmp_path)).collect()}
+    found = {r.doc_id: set(r.found) for r in catalogue.QUERIES["document_entities"](spark, str(tmp_path)).collect()}
     assert {"NaBF4", "DME"} <= found[2] and "NaFSI" in found[3] and found[4] == set()
-    counts = {r.entity: r.n_docs for r in catalogue.QUERIES["entity_doc_counts_all"](spark, str(tmp_path)).collect()}
+    counts = {r.entity: r.n_docs for r in catalogue.QUERIES["entity_doc_counts"](spark, str(tmp_path)).collect()}
     assert counts["NaPF6"] == 3 and counts["NaBF4"] == 1
 
 
@@ -44,7 +44,7 @@ def test_whole_texts_and_titles(spark, tmp_path):
     line = "a line of well over twenty-four characters"
     docs = [(1, f"{line} A..... 5\n{line} B\n{line} C . . . . . . 9")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    cleaned = catalogue.QUERIES["dot_leader_clean_all"](spark, str(tmp_path)).first().cleaned
+    cleaned = catalogue.QUERIES["dot_leader_clean"](spark, str(tmp_path)).first().cleaned
     assert cleaned == f"{line} A:  5\n{line} B\n{line} C : 9: 1 x: "
-    titles = {r.title for r in catalogue._outline(spark, str(tmp_path), "text").collect()}
+    titles = {r.title for r in catalogue._outline(spark, str(tmp_path)).collect()}
     assert titles == {f"{line} B", f"{line} A..... 5"}
