@@ -155,20 +155,21 @@ def shingles(h: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Tables that end where the columns `by` change; the batches come sorted by them, without nulls there."""
-    rest = None
+    held: list[pa.RecordBatch] = []  # rows of one group, perhaps with more to come
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-        new = np.zeros(len(t), bool)
-        for c in by:
-            x = t.column(c).to_numpy()
+        columns = [batch.column(c).to_numpy() for c in (batch.schema.get_field_index(x) for x in by)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = bool(held) and any(x[0] != held[-1].column(c)[-1].as_py() for x, c in zip(columns, by, strict=True))
+        for x in columns:
             new[1:] |= x[1:] != x[:-1]
         at = np.flatnonzero(new)
-        end = int(at[-1]) if len(at) else 0
-        if end:
-            yield t.slice(0, end).combine_chunks()
-        rest = t.slice(end)
-    if rest is not None and len(rest):
-        yield rest.combine_chunks()
+        if not len(at):
+            held.append(batch)
+            continue
+        if len(done := [*held, *([batch.slice(0, int(at[-1]))] if at[-1] else [])]):
+            yield pa.Table.from_batches(done).combine_chunks()
+        held = [batch.slice(int(at[-1]))]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

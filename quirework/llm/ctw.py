@@ -13,9 +13,9 @@ code length.
 
 The base score is a unigram model over words with add-half smoothing.
 
-Both scores look up a table of logarithms. If a table has at most MOST_ENTRIES entries, it is sent to the tasks
-as a hash table. Beyond that its keys are split into ranges of that size, each one pass over the texts, and the
-passes' partial sums are added up.
+Both scores look up a table of logarithms. If both tables have at most MOST_ENTRIES entries, they are sent to the tasks
+as hash tables. Beyond that nothing is sent: blocks of texts ask for the logarithms of their distinct words and grams by a
+join, and each is scored by a task that holds it and its answers.
 
 Null text is empty: it has the end token, and the end symbol. Rows with null doc_id are not learned from and not
 held out. If there is nothing to learn from, all counts are 0. Words and contexts are told apart by 64-bit
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import discard, keep
 from ._text import SPACED, U, mix, slices, whole_groups, words
 
 DEPTH = 5
 MOST_ENTRIES = 6_000_000
+BLOCK_BYTES, ROUND_BYTES = 4 << 20, 64 << 30
 #: positions counted before they are merged
 COUNT_ROWS = 1 << 21
 END_WORD = U(0x0E0D0E0D0E0D0E0D)
@@ -237,7 +239,7 @@ def finish(nodes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def gram_logs(spark: SparkSession, gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """key, log: log10 of the weighted model's probability of each gram's symbol in its context."""
+    """key, log: log10 of the weighted model's probability of each gram's symbol in its context, in a kept table."""
     near = F.shiftrightunsigned("key", 8 * (depth - 1)).alias("near")
     dealt = gram_counts.select("key", "n", near).repartition("near").sortWithinPartitions("near", "key")
 
@@ -277,7 +279,9 @@ def gram_logs(spark: SparkSession, gram_counts: DataFrame, depth: int = DEPTH) -
             log = np.log10(np.maximum(a[c1, byte] + b[c1, byte] * p, 1e-30).astype(np.float64)).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log.astype(np.float32))], ["key", "log"])
 
-    return deep.filter("level < 0").select("key", "bits").mapInArrow(last, "key long, log float")
+    out = keep(deep.filter("level < 0").select("key", "bits").mapInArrow(last, "key long, log float"), "logs")
+    discard(deep)
+    return out
 
 
 # --- scoring
@@ -313,12 +317,9 @@ class Lookup:
         return out
 
 
-def _tables(spark: SparkSession, table: DataFrame, n: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, values) of the table in parts of about `most` entries."""
-    parts = max(1, -(-n // most))
-    for b in range(parts):
-        t = (table if parts == 1 else table.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == b)).toArrow()
-        yield t.column("key").to_numpy().view(U), t.column("log").to_numpy()
+def _table(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = table.toArrow()
+    return t.column("key").to_numpy().view(U), t.column("log").to_numpy()
 
 
 def _row_sums(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -326,7 +327,112 @@ def _row_sums(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(total[offs])
 
 
-def score(spark: SparkSession, docs: DataFrame, trained: str, carry: list[str], depth: int = DEPTH, most: int = MOST_ENTRIES) -> DataFrame:
+SUMS = "n_tokens long, n_known long, base double, log double, n_symbols long"
+
+
+def _summed(column: pa.Array, by_word: Lookup, by_gram: Lookup, depth: int) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """(first row, rows, arrays of SUMS) of slices of the texts; what a table lacks adds nothing."""
+    end = by_word.get(np.array([END_WORD]))[0]
+    for lo, hi, data, offs in slices(column):
+        _, _, h, woffs = words(data, offs, SPACED)
+        v = by_word.get(h)
+        n_known = _row_sums(~np.isnan(v), woffs).astype(np.int64) + int(not np.isnan(end))
+        base = _row_sums(np.nan_to_num(v), woffs) + np.nan_to_num(end)
+        sym, soffs = symbols(data, offs)
+        log = _row_sums(np.nan_to_num(by_gram.get(grams(sym, soffs, depth))), soffs)
+        yield lo, hi - lo, [pa.array(x) for x in (np.diff(woffs) + 1, n_known, base, log, np.diff(offs) + 1)]
+
+
+def _schema(docs: DataFrame, cols: list[str]) -> tuple[str, list[str]]:
+    """The schema of cols and SUMS, and its names."""
+    own = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols]
+    return ", ".join([*own, SUMS]), [*cols, *(x.split(" ")[0] for x in SUMS.split(", "))]
+
+
+def _by_broadcast(spark: SparkSession, docs: DataFrame, carry: list[str], word_logs: DataFrame, logs: DataFrame, depth: int) -> DataFrame:
+    """carry and SUMS of every row, both tables being sent to all tasks."""
+    sent = spark.sparkContext.broadcast((Lookup(*_table(word_logs)), Lookup(*_table(logs))))
+    schema, names = _schema(docs, carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_word, by_gram = sent.value
+        for batch in batches:
+            for lo, n, sums in _summed(batch.column(0), by_word, by_gram, depth):
+                yield pa.RecordBatch.from_arrays([*(batch.column(1 + i).slice(lo, n) for i in range(len(carry))), *sums], names)
+
+    return docs.select("text", *(F.col(f"`{c}`") for c in carry)).mapInArrow(run, schema)
+
+
+def _in_blocks(docs: DataFrame, carry: list[str], block_bytes: int) -> DataFrame:
+    """block, text and carry of every row: runs of rows of a task with about block_bytes of text, in a table that fixes them."""
+    cols = ["text", *carry]
+    schema = ", ".join(["block long", *(f"`c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = None, 0
+        for batch in batches:
+            first, lengths = batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            of = []
+            for i, n in zip(first, lengths, strict=True):
+                if block is None or size + n > block_bytes:
+                    block, size = i, 0
+                size += n
+                of.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *batch.columns[1:]], ["block", *(f"c{i}" for i in range(len(cols)))])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
+    return keep(numbered.mapInArrow(run, schema), "blocks")
+
+
+def _by_blocks(docs: DataFrame, carry: list[str], word_logs: DataFrame, logs: DataFrame, depth: int, block_bytes: int, round_bytes: int) -> DataFrame:
+    """carry and SUMS of every row by joins: a block of texts asks for the logarithms of its distinct words and grams, and is scored with them.
+
+    A task holds one block and what it asked for. Rounds bound the disk: each takes blocks of about round_bytes of text, and its tables are
+    deleted before the next.
+    """
+    blocks = _in_blocks(docs, carry, block_bytes)
+    size = blocks.agg(F.sum(F.octet_length("c0"))).first()[0] or 0
+    rounds = max(1, -(-size // round_bytes))
+    told = word_logs.select(F.lit(WORD).cast("byte").alias("kind"), "key", F.col("log").cast("double")).unionByName(logs.select(F.lit(GRAM).cast("byte").alias("kind"), "key", F.col("log").cast("double")))
+    own = [f"c{i + 1}" for i in range(len(carry))]
+    schema, names = _schema(blocks, own)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asked(block, kind, keys):
+            k = np.unique(np.concatenate(keys))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64))], ["block", "kind", "key"])
+
+        for t in whole_groups(batches, ["block"]):
+            of = t.column(0).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                by_word, by_gram = [np.array([END_WORD], U)], []
+                for _, _, data, offs in slices(t.column(1).slice(a, b - a)):
+                    by_word.append(np.unique(words(data, offs, SPACED)[2]))
+                    sym, soffs = symbols(data, offs)
+                    by_gram.append(np.unique(grams(sym, soffs, depth)))
+                yield asked(of[a], WORD, by_word)
+                yield asked(of[a], GRAM, by_gram)
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        kind, key, log = answers.column("kind").to_numpy(), answers.column("key").to_numpy().view(U), answers.column("log").to_numpy()
+        tables = [Lookup(key[kind == k], log[kind == k]) for k in (WORD, GRAM)]
+        text = texts.column("c0").combine_chunks()
+        parts = [pa.Table.from_arrays([*(texts.column(c).slice(lo, n) for c in own), *sums], names) for lo, n, sums in _summed(text, *tables, depth)]
+        return pa.concat_tables(parts)
+
+    out = None
+    for r in range(rounds):
+        some = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r)
+        asked = some.select("block", "c0").mapInArrow(ask, "block long, kind byte, key long")
+        answers = asked.join(told, ["kind", "key"]).select("block", "kind", "key", "log")
+        sums = keep(some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema), "sums")
+        out = sums if out is None else out.unionByName(sums)
+    discard(blocks)
+    return out.withColumnsRenamed(dict(zip(own, carry, strict=True)))
+
+
+def score(spark: SparkSession, docs: DataFrame, trained: str, carry: list[str], depth: int = DEPTH, most: int = MOST_ENTRIES, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """carry, n_tokens, n_known, train_tokens, base_score, score, n_symbols of every row; learns from rows where `trained` holds."""
     told = keep(counts(docs, trained, depth), "counts")
     word = told.filter(f"kind = {WORD}")
@@ -334,49 +440,12 @@ def score(spark: SparkSession, docs: DataFrame, trained: str, carry: list[str],
     unit = size.n + 0.5 * (size.v + 1)
     word_logs = word.select("key", F.log10((F.col("n") + 0.5) / F.lit(unit)).alias("log"))
     unknown = float(np.log10(0.5 / unit))
-    logs = keep(gram_logs(spark, told.filter(f"kind = {GRAM}").select("key", "n"), depth), "logs")
-    sums = "n_tokens long, n_known long, base double, log double, n_symbols long"
-
-    def one_pass(data: DataFrame, cols: list[str], known: tuple | None, log: tuple | None) -> DataFrame:
-        """cols, n_tokens, n_symbols and what the two tables (keys, logarithms) add to the other sums."""
-        sent = spark.sparkContext.broadcast((Lookup(*known) if known else None, Lookup(*log) if log else None))
-        names = [*cols, *(x.split(" ")[0] for x in sums.split(", "))]
-        schema = ", ".join([f"`{c}` {data.schema[c].dataType.simpleString()}" for c in cols] + [sums])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_word, by_gram = sent.value
-            for batch in batches:
-                for lo, hi, data, offs in slices(batch.column(0)):
-                    n = hi - lo
-                    n_tokens, n_known, base, log, n_symbols = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.diff(offs) + 1
-                    _, _, h, woffs = words(data, offs, SPACED)
-                    n_tokens += np.diff(woffs) + 1
-                    if by_word is not None:
-                        v = by_word.get(h)
-                        end = by_word.get(np.array([END_WORD]))[0]
-                        # what a table lacks adds nothing here; unknown words are added by their number
-                        n_known += _row_sums(~np.isnan(v), woffs).astype(np.int64) + int(not np.isnan(end))
-                        base += _row_sums(np.nan_to_num(v), woffs) + np.nan_to_num(end)
-                    if by_gram is not None:
-                        sym, soffs = symbols(data, offs)
-                        log += _row_sums(np.nan_to_num(by_gram.get(grams(sym, soffs, depth))), soffs)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(1 + i).slice(lo, n) for i in range(len(cols))), *(pa.array(x) for x in (n_tokens, n_known, base, log, n_symbols))], names)
-
-        return data.select("text", *(F.col(f"`{c}`") for c in cols)).mapInArrow(run, schema)
-
-    n_logs = logs.count()
-    if size.v <= most and n_logs <= most:
-        out = one_pass(docs, carry, next(_tables(spark, word_logs, size.v, most)), next(_tables(spark, logs, n_logs, most)))
+    logs = gram_logs(spark, told.filter(f"kind = {GRAM}").select("key", "n"), depth)
+    if size.v <= most and logs.count() <= most:
+        out = _by_broadcast(spark, docs, carry, word_logs, logs, depth)
     else:
-        # the passes' sums of a row meet again by a number, which a table in the shared folder fixes
-        rows = keep(docs.select("text", *(F.col(f"`{c}`") for c in carry)).withColumn("row_", F.monotonically_increasing_id()), "rows")
-        cols = ["row_", *carry]
-        parts = [one_pass(rows, cols, t, None) for t in _tables(spark, word_logs, size.v, most)] + [one_pass(rows, cols, None, t) for t in _tables(spark, logs, n_logs, most)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        kept = [F.first(f"`{c}`").alias(c) for c in carry] + [F.max(c).alias(c) for c in ("n_tokens", "n_symbols")]
-        out = out.groupBy("row_").agg(*kept, *(F.sum(c).alias(c) for c in ("n_known", "base", "log")))
+        out = _by_blocks(docs, carry, word_logs, logs, depth, block_bytes, round_bytes)
+    discard(told, logs)  # both ways have read them
     base = F.col("base") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
     return out.select(*(F.col(f"`{c}`") for c in carry), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("log").alias("score"), (-F.col("log") / F.lit(float(np.log10(2))) / F.col("n_symbols")).alias("bits_per_byte"))
 
