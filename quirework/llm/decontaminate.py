@@ -9,7 +9,8 @@ one pass over the documents.
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. A window is `size`
 consecutive words of an item; an item with fewer words is one window; one without words has none.
 Null text has no words. A null item_id counts as the empty string. Rows of one item_id are one item.
-Words are compared by 64-bit fingerprints.
+Words are compared by 64-bit fingerprints. A document is searched by one task as a whole, however long; its suffixes that can
+match take 40 bytes each. An empty table of documents gives an empty result; without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import discard, keep
 from ._text import ALNUM, U, mix, slices, words
 
 #: benchmark text in one pass over the documents
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: text and kept suffixes of one suffix array
 SHARD_BYTES, SHARD_SUFFIXES = 16 << 20, 400_000
 TABLE_BITS = 20
@@ -181,6 +183,20 @@ def _blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Windo
         yield Windows([(r.i, r.t) for r in part.collect()], size)
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[tuple]:
+    """(broadcast of a block's windows, how to hold the pass's result): as it is if there is one block, else written, so that no more than two blocks are held at a time."""
+    blocks = _blocks(benchmark, size, block_bytes)
+    windows, after = next(blocks), next(blocks, None)
+    if after is None:
+        yield spark.sparkContext.broadcast(windows), lambda df: df
+        return
+    while windows is not None:
+        sent = spark.sparkContext.broadcast(windows)
+        yield sent, lambda df: keep(df, "pass")
+        sent.destroy()
+        windows, after = after, next(blocks, None)
+
+
 def _shards(batches, windows: Windows):
     """(ids of the rows, shard) for runs of rows; column 0 has the ids, column 1 the texts."""
     shard, ids = Shard(windows), []
@@ -197,10 +213,9 @@ def _shards(batches, windows: Windows):
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches of at least a window: doc_id, item_id, doc_start, item_start, n_words (in words)."""
-    out = None
+    out, parts = None, _passes(spark, benchmark, size, block_bytes)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, doc_start long, item_start long, n_words long"
-    for windows in _blocks(benchmark, size, block_bytes):
-        sent = spark.sparkContext.broadcast(windows)
+    for sent, written in parts:
 
         def scan(batches, sent=sent):
             w = sent.value
@@ -210,15 +225,15 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: in
                     ids = pa.concat_arrays(ids)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array([w.names[i] for i in item], pa.string()), *(pa.array(x.astype(np.int64)) for x in (at, start, n))], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, schema)
+        part = written(docs.select("doc_id", "text").mapInArrow(scan, schema))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no window occurs, all their columns unchanged."""
-    for windows in _blocks(benchmark, size, block_bytes):
-        sent = spark.sparkContext.broadcast(windows)
+    before = None
+    for sent, written in _passes(spark, benchmark, size, block_bytes):
         at = docs.columns.index("text")
 
         def clean(batches, sent=sent, at=at):
@@ -234,7 +249,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
                         shard, first = Shard(w), hi
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = written(docs.mapInArrow(clean, docs.schema))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
@@ -244,13 +262,14 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int
     With more than one block of items, each pass gives its hit ranges and items, which are united by row.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocks = list(_blocks(benchmark, size, block_bytes))
+    blocks = _blocks(benchmark, size, block_bytes)
+    first, second = next(blocks), next(blocks, None)
     rows = docs.select("doc_id", "text")
     final = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-    if len(blocks) > 1:
+    several = second is not None
+    if several:
         # a row is told apart by its text's digest and doc_id; equal rows have equal results, each copy is counted
         rows = rows.withColumn("row_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    several = len(blocks) > 1
 
     def run(windows):
         sent = spark.sparkContext.broadcast(windows)
@@ -276,16 +295,17 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int
         return rows.mapInArrow(scan, final)
 
     if not several:
-        return run(blocks[0])
-    return _report_blocks(spark, rows, blocks, id_type)
+        return run(first)
+    del first, second
+    return _report_blocks(spark, rows, _passes(spark, benchmark, size, block_bytes), id_type)
 
 
-def _report_blocks(spark: SparkSession, rows: DataFrame, blocks: list[Windows], id_type: str) -> DataFrame:
+def _report_blocks(spark: SparkSession, rows: DataFrame, passes: Iterator, id_type: str) -> DataFrame:
     """report() for several blocks: hit ranges and items of each block, united by (doc_id, digest of the text)."""
-    parts = None
+    parts, n_passes = None, 0
     schema = f"doc_id {id_type}, row_key string, n_words long, n long, ranges array<struct<a:long,b:long>>, items array<string>, longest long"
-    for windows in blocks:
-        sent = spark.sparkContext.broadcast(windows)
+    for sent, written in passes:
+        n_passes += 1
 
         def scan(batches, sent=sent):
             w = sent.value
@@ -307,10 +327,10 @@ def _report_blocks(spark: SparkSession, rows: DataFrame, blocks: list[Windows],
                         ["doc_id", "row_key", "n_words", "n", "ranges", "items", "longest"],
                     )
 
-        part = rows.mapInArrow(scan, schema)
+        part = written(rows.mapInArrow(scan, schema))
         parts = part if parts is None else parts.unionByName(part)
     one = parts.groupBy("doc_id", "row_key").agg(
-        F.max("n_words").alias("n_words"), (F.sum("n") / len(blocks)).cast("int").alias("copies"), F.max("longest").alias("longest_match"),
+        F.max("n_words").alias("n_words"), (F.sum("n") / n_passes).cast("int").alias("copies"), F.max("longest").alias("longest_match"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ranges")))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"),
     )
     # sorted ranges: each adds what lies beyond the furthest end so far
