@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, warc
+from . import sharding, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,5 +99,30 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(t.doc_id) AS compon
 FROM s JOIN r ON s.i = r.i JOIN s t ON t.i = r.j GROUP BY s.i, s.doc_id, s.g
 """
 
+#: op1_decontaminate in DuckDB's SQL
+DECONTAMINATE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+x AS (
+  SELECT item, row, m, unnest(range(len(w) - m + 1)) AS s, unnest(list_transform(range(len(w) - m + 1), lambda k: array_to_string(w[k + 1 : k + m], ' '))) AS g
+  FROM (SELECT *, least(10, len(w)) AS m FROM i WHERE len(w) > 0)),
+u AS (SELECT r, unnest(range(len(w))) AS k, unnest(w) AS word FROM d),
+v AS (SELECT r, k, list(word) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten FROM u),
+p AS (SELECT r, m, k, array_to_string(ten[1 : m], ' ') AS g FROM v, (SELECT DISTINCT m FROM x) WHERE len(ten) >= m),
+h AS (SELECT r, p.m, p.k, x.item, x.row, x.s FROM p JOIN x ON p.m = x.m AND p.g = x.g),
+n AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS place FROM (SELECT DISTINCT r, k, m FROM h)) GROUP BY 1),
+l AS (SELECT r, count(*) + any_value(m) - 1 AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY r, row, s - k ORDER BY k) AS island FROM h) GROUP BY r, row, s - k, island),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce((SELECT max(n) FROM l WHERE l.r = d.r), 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN t ON d.r = t.r
+"""
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_topk, op3_jaccard, op4_mix, op5_warc, op6_passages, op7_shard, op8_secrets, op9_langid, op10_ctw)}
-ORACLES: dict[str, str] = {"op2_topk": topk.REPORT_SQL, "op3_jaccard": JACCARD_SQL, "op5_warc": warc.REPORT_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op2_topk": topk.REPORT_SQL, "op3_jaccard": JACCARD_SQL, "op5_warc": warc.REPORT_SQL, "op7_shard": sharding.REPORT_SQL}

@@ -98,18 +98,19 @@ def report(docs: DataFrame, n_shards: int = 8, seed: int = 0) -> DataFrame:
 #: op7_shard in DuckDB's SQL
 REPORT_SQL = """
 WITH RECURSIVE b AS (
-  SELECT x, 0 AS step, CAST(x AS BIGINT) AS c FROM range(256) t(x)
-  UNION ALL SELECT x, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE step < 8),
-crc AS (SELECT list(c ORDER BY x) AS tab FROM b WHERE step = 8),
+  SELECT x, 0 AS step, CAST(x AS BIGINT) AS c FROM range(16) t(x)
+  UNION ALL SELECT x, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM b WHERE step < 4),
+crc AS (SELECT list(c ORDER BY x) AS tab FROM b WHERE step = 4),
 d AS (
-  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '')) AS digest, hex(encode(coalesce(text, ''))) AS bytes
+  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+    list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: CAST(instr('123456789ABCDEF', nullif(x, '')) AS BIGINT)) AS digits
   FROM documents),
 k AS (SELECT *, substr(md5(concat_ws(chr(31), '0', coalesce(CAST(doc_id AS VARCHAR), ''), digest)), 1, 15) AS key, coalesce('s' || source, 'z') AS stratum FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id) AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM k),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * pos - 1) / n::DOUBLE, stratum, key, doc_id) - 1 AS place, count(*) OVER () AS total FROM r),
 s AS (SELECT *, CAST(place * 8 // total AS INTEGER) AS shard FROM p)
 SELECT doc_id, size,
-       xor(4294967295, list_reduce(list_transform(range(size - 1), lambda i: CAST('0x' || bytes[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32,
+       xor(4294967295, list_reduce(digits, lambda c, x: xor(c >> 4, tab[(xor(c, x) & 15) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32,
        'rows' AS law, shard, CAST(place - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
 FROM s, crc
 """
