@@ -32,9 +32,15 @@ def _c(c: Column | str) -> Column:
 
 def seeds_in(c: Column | str, seeds: tuple[str, ...] = SEEDS) -> Column:
     """Seeds that the text contains, spelt as in the vocabulary; case counts for seeds with a capital first letter only."""
-    c, low = _c(c), F.lower(_c(c))
-    found = [F.when(c.contains(s) if s[0].isupper() else c.contains(s) | low.contains(s.lower()), F.lit(s)) for s in seeds]
-    return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    if not seeds:
+        return F.array().cast("array<string>")
+
+    # both spellings of the text are made once; a seed in lower case is in the lower-cased text wherever it is in the text
+    def found(t: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(t["as_is"].contains(s) if s[0].isupper() else t["low"].contains(s.lower()), F.lit(s)) for s in seeds)))
+
+    texts = F.struct(_c(c).alias("as_is"), F.lower(_c(c)).alias("low"))
+    return F.element_at(F.transform(F.array(texts), found), 1)
 
 
 def pattern_hits(c: Column | str, pattern: str) -> Column:
