@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirework.llm import decontaminate, jaccard, langid, mixing, sharding
-from quirework.llm._store import keep
+from quirework.llm._store import discard, keep
 
 N_SHARDS = 8
 
@@ -35,9 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
-    placed = sharding.interleave(docs, N_SHARDS)
-    return placed.withColumnsRenamed({"shard_": "shard", "slot_": "slot"}).drop("place_")
+    """Documents with their shard and their slot in it, in place of columns of these names."""
+    return sharding.interleave(docs, N_SHARDS, names=("shard", "slot", None))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
@@ -50,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
