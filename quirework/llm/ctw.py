@@ -19,7 +19,8 @@ join, and each is scored by a task that holds it and its answers.
 
 Null text is empty: it has the end token, and the end symbol. Rows with null doc_id are not learned from and not
 held out. If there is nothing to learn from, all counts are 0. Words and contexts are told apart by 64-bit
-fingerprints and by their bytes, in turn. Rows of one doc_id are scored one by one.
+fingerprints and by their bytes, in turn. Rows of one doc_id are scored one by one. A text is scored by one task as a whole, with some
+tens of bytes for each of its own. An empty table gives an empty one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ is tried, anchored there. Runs of hexadecimal digits have no keyword and are fou
 
 Matches of assign and access are leftmost and do not overlap within a kind; a match that is too short is
 dropped but its text stays used. Positions are code points, ends exclusive. Null text is empty. A document
-never takes part in its neighbour's matches.
+never takes part in its neighbour's matches. A text is scanned by one task as a whole, however long. An empty table gives an empty
+one. Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Vectors that are null or hold null or non-finite components take no part; vector
 query's are no candidates of it. Rows with the query's own vec_id are the query's own. Null vec_id is never a
 query, and as a candidate comes last among ties. Every row of a repeated query id is a query. Components beyond
 2^20 after quantising leave the index and are scored exactly with unbounded integers; a score beyond 64 bits is
-held at the bound.
+held at the bound. An empty table gives an empty one. Columns but vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._store import keep
+
 BLOCK_ROWS = 1 << 16
 QUERY_ROWS = 4096
 SLICES = 6
@@ -185,6 +187,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_no", "query_id", "vec_id", "score"])
 
         found = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+        if n_blocks > 1:  # one block of queries is held at a time
+            found = keep(found, "found")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_no").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,8 @@ Spark's binaryFile source reads archives of up to 2 GB.
 
 Null html is an empty payload; null url has no target header; line ends in a url become %0D and %0A. Rows that
 repeat the largest page_id with its payload are all responses. Null page_id never wins; if a group has no
-other, all its rows are responses.
+other, all its rows are responses. A page is written as a whole, however long. An empty table gives no archive, and no rows.
+Other columns than page_id, url and html are not read.
 """
 
 from __future__ import annotations
