@@ -211,7 +211,7 @@ def test_a_passage_is_followed_beyond_the_margin(spark):
     chain = spark.createDataFrame([(cls[0], cls[1], [1050], [750], [20], [1])], "a long, b long, xs array<int>, ys array<int>, ns array<int>, ks array<int>")
     wanted = spark.createDataFrame([(c,) for c in cls.values()], "cls long")
     row = passages._all_aligned(spark, chain, passages._word_table(spark, table, wanted), 50, 0.8).collect()
-    assert [(r.start, r.end, r.other_start, r.other_end, r.matching) for r in row] == [(300, 1800, 0, 1500, 1500)]
+    assert [(r.start, r.end, r.other_start, r.other_end, r.matching) for r in row] == [([300], [1800], [0], [1500], [1500])]
 
 
 def test_longest_common_subsequence():
