@@ -201,6 +201,62 @@ def test_recall_of_passages_against_all_pairs(spark):
     assert len({i for p in links for i in p} - touched) <= 0.05 * len(touched)
 
 
+def fresh(rng, n):
+    return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+
+def between(rng, *runs):
+    """A text of those runs with 40 words of its own before and after each."""
+    return " ".join([*fresh(rng, 40), *(w for run in runs for w in [*run, *fresh(rng, 40)])])
+
+
+@pytest.mark.parametrize("seed", [0, 1, 3, 4])
+def test_equal_words_are_linked_whose_seeds_have_other_centres(spark, seed):
+    rng = random.Random(seed)
+    run = fresh(rng, 50)
+    # every seed of the run is in 24 other documents or more, none of which has 50 of its words
+    docs = [between(rng, run) for _ in range(2)] + [between(rng, run[:46] if i % 2 else run[4:]) for i in range(48)]
+    rows = passages.repeats(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()
+    assert [({r.doc_id, *r.other_doc_ids}, [tuple(p)[:2] for p in r.passages]) for r in rows] == [({0, 1}, [(40, 90)])]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_edited_words_are_linked_whose_seeds_are_in_some_other_documents(spark, seed):
+    rng = random.Random(seed)
+    run = fresh(rng, 60)
+    edited = [f"e{rng.randrange(10**7)}" if i % 9 == 4 else w for i, w in enumerate(run)]
+    docs = [between(rng, run), between(rng, edited), *(between(rng, edited[:32] if i % 2 else edited[28:]) for i in range(4))]
+    rows = passages.repeats(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert [{r.doc_id, *r.other_doc_ids} for r in rows] == [{0, 1}]
+
+
+@pytest.mark.parametrize("least", [20, 50])
+def test_no_run_of_equal_words_is_left_out(spark, least):
+    """Both documents of any run of `least` equal words have it in a passage with each other, or at one place of a third."""
+    rng = random.Random(71)
+    source, docs = fresh(rng, 8 * least), []
+    for _ in range(150):
+        at = rng.sample([rng.randrange(2 * least), rng.randrange(4 * least, 6 * least)], rng.randrange(1, 3))
+        docs.append(between(rng, *(source[a : a + rng.randrange(least - 6, least + 12)] for a in at)))
+    rows = passages.repeats(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5), least).collect()
+    held = defaultdict(set)  # by document, the places that its words are aligned to, its own among them
+    for r in rows:
+        for p in r.passages:
+            for i in range(p.start, p.end):
+                held[r.doc_id, i].add((p.other_doc_id, p.other_start + i - p.start))
+    where = defaultdict(list)
+    for d, text in enumerate(docs):
+        w = text.split(" ")
+        for i in range(len(w) - least + 1):
+            where[tuple(w[i : i + least])].append((d, i))
+    shared = [x for x in where.values() if len({d for d, _ in x}) > 1]
+    assert len(shared) > 50
+    for x in shared:
+        for j in (0, least - 1):
+            places = [{(d, i + j), *held[d, i + j]} for d, i in x]
+            assert all(a & b for a in places for b in places), x
+
+
 def test_a_passage_is_followed_beyond_the_margin(spark):
     rng = random.Random(47)
     run = prose(rng, 1500, 10**6).split(" ")
