@@ -70,7 +70,8 @@ def region_counts(regions: DataFrame) -> DataFrame:
 def captions(detections: DataFrame, vertical: int = 80, ratio: float = 0.6) -> DataFrame:
     """doc_id, page_index, det_index, caption_index (null without): the nearest free caption of every content element.
 
-    Contents choose in detection order; a caption serves once, whatever its type. Its centre must lie within
+    Contents choose in detection order; a caption serves once, whatever its type, and those with one det_index are
+    one in this: when one is taken, so are the others. Its centre must lie within
     `ratio` of the content's width, and it must start at most `vertical` below the content, or, failing that, end at
     most as far above it. The first of equally near captions wins. A page's detections are one group.
     """
@@ -79,14 +80,15 @@ def captions(detections: DataFrame, vertical: int = 80, ratio: float = 0.6) -> D
     pages = detections.filter(F.col("label").isin(*CONTENT, *CAPTIONS)).groupBy("doc_id", "page_index").agg(of(CONTENT).alias("contents"), of(CAPTIONS).alias("captions"))
 
     def choice(e: Column, used: Column) -> Column:
-        """Distance and place of the nearest free caption of e; null without."""
+        """Place of the nearest free caption of e, the first with its det_index; null without."""
 
         def gap(c: Column) -> Column:
             below, above = c["y0"] - e["y1"], e["y0"] - c["y1"]
             near = F.abs(e["x0"] + e["x1"] - c["x0"] - c["x1"]) / 2 <= (e["x1"] - e["x0"]) * ratio
             return F.when(near, F.when(below.between(0, vertical), below).when(above.between(0, vertical), above))
 
-        gaps = F.transform("captions", lambda c, i: F.struct(F.when(~F.array_contains(used, i), gap(c)).alias("gap"), i.alias("at")))
+        first = lambda c: (F.array_position(F.col("captions")["det_index"], c["det_index"]) - 1).cast("int")
+        gaps = F.transform("captions", lambda c: F.struct(F.when(~F.array_contains(used, first(c)), gap(c)).alias("gap"), first(c).alias("at")))
         return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))["at"]
 
     # the places of the captions taken so far, one for each content in order, -1 where there was none

@@ -29,6 +29,17 @@ def test_query_equals_its_sql(spark, con, name):
         assert sorted((str(plain(tuple(r[c] for c in cols))) for r in rows)) == sorted(str(plain(r)) for r in want)
 
 
+def test_captions_of_one_number_serve_once(spark, tmp_path):
+    # a figure and a table above two captions with the same det_index; on the second page those have two
+    lines = [(page, part, supp, n) for page, other in ((1, 3), (51, 4)) for part, supp, n in ((0, 0, 1), (1, 0, 2), (3, 70, 3), (10, 90, other))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted((tuple(r) for r in catalogue.QUERIES["caption_pairs"](spark, str(tmp_path)).collect()), key=str)
+    assert got == [(1, 1, 1, 3), (1, 1, 2, None), (1, 2, 1, 3), (1, 2, 2, 4)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(con.sql(f"SELECT doc_id, page_index, det_index, caption_index FROM ({catalogue.ORACLES['caption_pairs']})").fetchall(), key=str) == got
+
+
 def test_entities_of_all_languages(spark, tmp_path):
     docs = [(1, "NaClO4 in PC", "en"), (2, "NaBF4 在 DME 中", "zh"), (3, "Lösung von NaFSI", None), (4, None, "de")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
