@@ -109,6 +109,18 @@ def chunk_texts(pages: DataFrame, parts: DataFrame) -> DataFrame:
     return tagged.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "tagged"))), lambda x: x["tagged"]), "").alias("text"))
 
 
+def between(paged: Column | str, first: Column, last: Column) -> Column:
+    """The pages from first to last (from 1; those that exist) of an array of all pages of a document."""
+    low = F.greatest(first, F.lit(1)).cast("int")
+    return F.slice(paged, low, F.greatest(last.cast("int") - low + 1, F.lit(0)))
+
+
+def tagged(paged: Column | str, first: Column, last: Column) -> Column:
+    """The tagged text of `between`."""
+    low = F.greatest(first, F.lit(1)).cast("int")
+    return F.array_join(F.transform(between(paged, first, last), lambda text, i: wrap_page(low + i, text)), "")
+
+
 def in_range(df: DataFrame, page: str, n_pages: str) -> DataFrame:
     """Rows whose page exists."""
     return df.filter(F.col(page).between(F.lit(1), F.col(n_pages)))

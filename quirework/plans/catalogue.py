@@ -49,6 +49,10 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.pages_of(_read(spark, sf, "documents"))
 
 
+def _paged(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+
+
 def _outline(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -432,7 +436,7 @@ def _sql_part(cond: str) -> str:
 @query(f"""WITH {SQL_NODES} SELECT doc_id, node_id, '<<<context-before>>>' || chr(10) || {_sql_part("pg.page_index BETWEEN n.start_index - 1 AND n.end_index + 1 AND pg.page_index < n.start_index")} || chr(10) || '<<<section-content>>>' || chr(10) ||
 {_sql_part("pg.page_index BETWEEN n.start_index AND n.end_index")} || chr(10) || '<<<context-after>>>' || chr(10) || {_sql_part("pg.page_index BETWEEN n.start_index - 1 AND n.end_index + 1 AND pg.page_index > n.end_index AND pg.page_index >= n.start_index")} AS text FROM nodes_ n""")
 def node_text(spark, sf):
-    return tree.node_texts(_nodes(spark, sf), _pages(spark, sf), overlap=1)
+    return tree.paged_texts(_nodes(spark, sf), _paged(spark, sf), overlap=1)
 
 
 @query(f"WITH {SQL_NODES}, w AS (SELECT n.doc_id, node_id, sum(tokens) AS n_tokens FROM nodes_ n JOIN pg ON pg.doc_id = n.doc_id AND pg.page_index BETWEEN n.start_index AND n.end_index WHERE n.end_index - n.start_index > 2 GROUP BY 1, 2) SELECT doc_id, node_id, n_tokens::BIGINT AS n_tokens FROM w WHERE n_tokens >= 100")
@@ -684,6 +688,6 @@ def title_checks(spark, sf):
 def node_summaries(spark, sf):
     from ..provider import RuleProvider, ask
 
-    texts = tree.node_texts(_nodes(spark, sf), _pages(spark, sf), overlap=1)
+    texts = tree.paged_texts(_nodes(spark, sf), _paged(spark, sf), overlap=1)
     requests = texts.select(F.concat_ws("-", "doc_id", "node_id").alias("key"), F.lit("generate_node_summary").alias("prompt"), F.create_map(F.lit("node_text"), "text").alias("inputs"))
     return ask(requests, RuleProvider())

@@ -16,7 +16,7 @@ from .steps import Run
 def recognised(elements: DataFrame, provider: Provider, path: str, enabled: bool = True) -> DataFrame:
     """elements (with element_id and asset_path) with ocr_text and ocr_parsed; a failed call leaves `ERROR: no reply` and nothing parsed."""
     run = Run(elements.sparkSession, provider, f"{path}/recognise")
-    sent = run.written(layout.to_recognise(elements, enabled).select("doc_id", "element_id", "asset_path"), "images")
+    sent = layout.to_recognise(elements, enabled).select("doc_id", "element_id", "asset_path")
     told = run.asked(sent, "ocr", {"content": "asset_path"}, ["doc_id", "element_id"], json_mode=False)
     failed = F.col("reason") == "error"
     text = F.when(failed, "ERROR: no reply").otherwise(F.col("reply"))
@@ -52,13 +52,13 @@ def resummarised(nodes: DataFrame, elements: DataFrame, provider: Provider, path
     run = Run(nodes.sparkSession, provider, f"{path}/resummarise")
     keys = ["doc_id", "node_id"]
     figures = tree.leaves(nodes).join(figure_blocks(elements), keys).select(*keys, "title", F.coalesce("summary", F.lit("")).alias("summary"), "figures")
-    told = run.asked(run.written(figures, "leaves"), "figure_aware_resummarize", {"title": "title", "prior_summary": "summary", "figure_block": "figures"}, keys, json_mode=False)
+    told = run.asked(figures, "figure_aware_resummarize", {"title": "title", "prior_summary": "summary", "figure_block": "figures"}, keys, json_mode=False)
     current = run.written(_replaced(nodes, told), "with_figures")
     for d in range((nodes.agg(F.max("depth")).first()[0] or 0) - 1, -1, -1):
         block = F.struct("list_index", child_block("node_id", "title", "summary").alias("block"))
         below = current.filter(F.col("depth") == d + 1).groupBy("doc_id", F.col("parent_index").alias("list_index")).agg(F.array_sort(F.collect_list(block)).alias("b"))
         parents = current.filter(F.col("depth") == d).join(below, ["doc_id", "list_index"]).select(*keys, "title", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("children"))
-        told = run.asked(run.written(parents, f"parents{d}"), "summarize_from_children", {"title": "title", "child_summaries": "children"}, keys, json_mode=False)
+        told = run.asked(parents, "summarize_from_children", {"title": "title", "child_summaries": "children"}, keys, json_mode=False)
         current = run.written(_replaced(current, told), f"level{d}")
     return current
 
@@ -77,9 +77,9 @@ def verified(nodes: DataFrame, provider: Provider, path: str) -> DataFrame:
     """nodes (with summary and text) whose summaries were verified, and written once again where topics were missed."""
     run = Run(nodes.sparkSession, provider, f"{path}/verify")
     keys = ["doc_id", "node_id"]
-    asked = run.written(to_verify(nodes).select(*keys, "title", "text", "summary"), "nodes")
-    told = run.asked(asked, "verify_node_summary", {"title": "title", "section_text": section_content("text"), "summary": "summary"}, keys)
-    missed = run.written(told.withColumn("missed", missed_topics("json")).filter("size(missed) > 0").select(*keys, "text", "summary", "missed"), "missed")
+    asked = to_verify(nodes).select(*keys, "title", "text", "summary")
+    told = run.asked(asked, "verify_node_summary", {"title": "title", "section_text": section_content("text"), "summary": "summary"}, [*keys, "text", "summary"])
+    missed = told.withColumn("missed", missed_topics("json")).filter("size(missed) > 0").select(*keys, "text", "summary", "missed")
     again = run.asked(missed, "regenerate_summary_with_missed_topics", {"node_text": "text", "prior_summary": "summary", "missed_topics": F.to_json("missed")}, keys, json_mode=False)
     return _replaced(nodes, again)
 
@@ -87,5 +87,5 @@ def verified(nodes: DataFrame, provider: Provider, path: str) -> DataFrame:
 def described(nodes: DataFrame, provider: Provider, path: str) -> DataFrame:
     """doc_id, description: one for each document, from its nodes' titles and summaries."""
     run = Run(nodes.sparkSession, provider, f"{path}/describe")
-    trees = run.written(tree.to_nested(nodes, tree.DESCRIBED), "trees")
+    trees = tree.to_nested(nodes, tree.DESCRIBED)
     return run.asked(trees, "generate_doc_description", {"structure": "tree"}, ["doc_id"], json_mode=False).select("doc_id", F.col("reply").alias("description"))

@@ -1,3 +1,7 @@
+import os
+import random
+
+from quirework.operators import pages as P
 from quirework.operators import tree
 from quirework.plans import build, enrich
 from quirework.provider import RuleProvider
@@ -24,6 +28,30 @@ def test_contents_with_page_numbers_are_moved_by_their_offset(spark, tmp_path):
     assert [(r.title, r.start_index, r.end_index) for r in rows] == [("Preface", 1, 1), ("Alpha", 2, 2), ("Beta", 3, 3), ("Gamma", 4, 4)]
 
 
+def test_texts_are_written_once_and_lie_by_document(spark, tmp_path):
+    r = random.Random(3)
+    line = lambda: "Words. " + " ".join(f"{r.getrandbits(64):x}" for _ in range(9))
+    texts = ["\n".join(["Intro", *(line() for _ in range(300)), "Results", line()]) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert build.build(docs, RuleProvider(), str(tmp_path)).count() == 40
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tmp_path) for f in files)
+    assert size < 2 * sum(map(len, texts))
+    run = build.Build(docs, RuleProvider(), str(tmp_path / "again"))
+    plan = run.beside(run.n_pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort [" not in plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_texts_of_whole_documents_equal_those_of_pages(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n\nd"), (2, "x")], "doc_id long, text string")
+    ranges = [(i, j) for i in range(-1, 6) for j in range(-1, 7)]
+    nodes = spark.createDataFrame([(d, f"{k:04d}", i, j) for d in (1, 2) for k, (i, j) in enumerate(ranges)], "doc_id long, node_id string, start_index int, end_index int")
+    paged = docs.selectExpr("doc_id", "split(text, '\n') as pages")
+    for overlap in (0, 1, 2):
+        got = sorted(tree.paged_texts(nodes, paged, overlap).collect())
+        assert got == sorted(tree.node_texts(nodes, P.pages_of(docs), overlap).collect()) and len(got) == 2 * len(ranges)
+
+
 class Misplaced(RuleProvider):
     """Finds every heading two pages late, once of three times, and mends it when asked."""
 
